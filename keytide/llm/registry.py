@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keytide.llm.text import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod("doc_id", 3)
+    model = fit(docs.where(fold != 1), "doc_id", "text", "lang")
+    return predict(docs, "doc_id", "text", model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = crc_mod("doc_id", 4)
+    model = fit(docs, labels.where(fold != 2), "doc_id", "text", "toxic")
+    return score(docs, "doc_id", "text", model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts}
+    return {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
