@@ -23,6 +23,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, "doc_id", "text", model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", keep=["doc_id", "source"])
+    taken = (F.col("_copies") * F.col("_size")).cast("long").alias("taken")
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, "source", F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keytide.llm.toxicity import fit, score
 
@@ -41,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_toxicity, op5_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op3_mixing, op4_toxicity, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
