@@ -23,6 +23,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, "doc_id", "text", model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", "source", capacity=2048)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keytide.llm.mixing import mix
 
@@ -49,7 +55,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_mixing, op4_toxicity, op5_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
