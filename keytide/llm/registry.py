@@ -54,9 +54,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.exact_topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_topk, op8_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk": OP6_SQL}
