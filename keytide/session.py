@@ -50,3 +50,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+#: Tables of more estimated bytes are shuffled, not broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, estimated_bytes: int) -> DataFrame:
+    """`df`, marked for broadcast if its measured size allows it; otherwise the join shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if estimated_bytes <= BROADCAST_BYTES else df
