@@ -74,6 +74,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.shingle_join import linked
+
+    out = linked(table(spark, sf_dir, "documents"), "doc_id", "text", width=5, percent=80)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keytide.llm.ann import nearest
 
@@ -88,7 +95,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_topk, op8_nearest, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_topk, op7_shingle_join, op8_nearest, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
