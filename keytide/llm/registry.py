@@ -94,8 +94,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keytide.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), "doc_id", "text", width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_topk, op7_shingle_join, op8_nearest, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_toxicity, op5_token_counts, op6_exact_topk, op7_shingle_join, op8_nearest, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
