@@ -95,7 +95,7 @@ def _register_patterns() -> None:
     """Searches of the catalog's live keys, one for each class of pattern."""
     patterns = {
         "f_regex_broad": (".*", "search"),
-        "f_regex_exact": ("^customer:BUILDING:1$", "search"),
+        "f_regex_exact": ("^customer:MACHINERY:7$", "search"),
         "f_regex_suffix": (".*:7$", "search"),
         "f_regex_substring": ("URGENT", "search"),
         "f_regex_alternation": ("^(customer|part):.*1", "search"),
@@ -264,7 +264,7 @@ def a_percentiles_floor(spark: SparkSession, d: str) -> DataFrame:
     return A.floor_percentiles(table(spark, d, "events"), "value", "event_id")
 
 
-@query("a_rates", "SELECT event_type, round(count(*) / greatest(1.0, date_diff('second', min(ts), max(ts))), 9) AS per_second, round(CAST(count(*) FILTER (user_id % 2 = 0) AS DOUBLE) / count(*), 9) AS hit_rate FROM events GROUP BY event_type")
+@query("a_rates", "SELECT event_type, round(count(*) / greatest(1.0, CAST(date_sub('second', min(ts), max(ts)) AS DOUBLE)), 9) AS per_second, round(CAST(count(*) FILTER (user_id % 2 = 0) AS DOUBLE) / count(*), 9) AS hit_rate FROM events GROUP BY event_type")
 def a_rates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 2 == 0).alias("hits"), F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("s"))
     return e.select("event_type", F.round(A.rate(F.col("n"), F.col("s")), 9).alias("per_second"), F.round(A.ratio(F.col("hits"), F.col("n")), 9).alias("hit_rate"))

@@ -38,8 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes how tables are cut into read tasks for the rest of the session.
+
+    Otherwise the cut follows the number of cores, which changes as executors come and go, and row numbers
+    that two jobs give to the same table would differ.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor (once per application)."""
+    pin_splits(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
