@@ -113,6 +113,7 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         new, first = np.unique(h, return_index=True)
         spelled.update((k, bytes(data[s[i] : e[i]])) for k, i in zip(new.tolist(), first.tolist()) if k not in spelled)
     keys, token = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+    del words
     data = np.frombuffer(b" " + b" ".join(spelled[k] for k in keys.tolist()) + b" ", np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]), _SEP)
     word_at, bucket_at = [], []
@@ -182,16 +183,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     return _train([t[2] for t in texts], y, bits, dim, rounds, seed)
 
 
-def score(docs: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
-    """(id, score) of every row of `docs`; 0 to 1, higher: likelier toxic."""
+def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[str] | None = None) -> DataFrame:
+    """(id, score) of every row of `docs`; 0 to 1, higher: likelier toxic. keep: other columns to return instead of the id."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [id_col] if keep is None else keep
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             z = np.zeros(len(batch))
-            for row, end, data, at in chunks(_padded(batch.column(1))):
+            for row, end, data, at in chunks(_padded(batch.column(0))):
                 s, e, w = word_spans(data, at, _SEP)
                 word = _word_scores(data, s, e, m.v, m.bits)
                 start, length, rows = _windows(w)
@@ -199,8 +201,10 @@ def score(docs: DataFrame, id_col: str, text: str, model: Model) -> DataFrame:
                 _, once = np.unique(word_hashes(data, s, e) + mix(window_of.astype(np.uint64)), return_index=True)
                 window = np.bincount(window_of[once], weights=word[once], minlength=len(start)) / np.maximum(length, LEAST)
                 z[row:end] = _segmented(np.maximum, window, rows, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))], ["id", "score"])
+            score_ = pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score_], [*[f"_k{i}" for i in range(len(kept))], "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
+    schema = rows.select(*rows.columns[1:]).schema.add("score", "double")
+    out = rows.mapInArrow(scored, schema)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "score")
