@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keytide.functions.keys import in_range, next_prefix
-from keytide.operators.newest import live
+from keytide.operators.newest import live, newest_wins
 from keytide.plans.pattern import Analysis, analyze
+from keytide.schema import DELETE
 
 
 def key_condition(analysis: Analysis, key: Column) -> Column | None:
@@ -121,8 +122,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
     """The newest row of each key over several runs, deletes included: what compaction keeps before collecting garbage."""
-    from keytide.operators.newest import newest_wins
-
     return newest_wins(_union(runs))
 
 
@@ -130,6 +129,6 @@ def vacuum_tombstones(log: DataFrame, prefix: bytes, as_of: Column | int, seq: C
     """A delete for each live key with the prefix."""
     high = next_prefix(prefix)
     rows = live(log.where(in_range(F.col("key"), prefix or None, high)), as_of)
-    return rows.select("key", F.lit(2).cast("byte").alias("op"), (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("expires_at"))
+    return rows.select("key", F.lit(DELETE).cast("byte").alias("op"), (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("expires_at"))
 
 

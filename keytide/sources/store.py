@@ -55,8 +55,8 @@ class Store:
         self.log = options.get("logger") or logging.getLogger("keytide")
         self.manifests = ManifestLog(spark, self.path)
         self._pinned = self.manifests.load(version) if self.read_only else None
-        self.options |= self.manifest().tuning
         self._closed, self._paused = False, 0
+        self.options |= self.manifest().tuning
         if self.options["verify_on_open"] and (bad := self.verify().where("not ok").limit(1).collect()):
             raise CorruptStore(bad[0].problem)
 
@@ -199,11 +199,11 @@ class Store:
         ranges = analysis.ranges()
         segments = [s for s in m.segments if not ranges or any(s.overlaps(a, b) for a, b in ranges)]
         indexed = [s for s in segments if s.trigrams]
-        # a run without the literals may only be skipped if no other run's rows of those keys are shadowed by it
-        if analysis.literals and indexed and len(indexed) == len(segments):
+        # the index covers deletes too, so a run without the literals has no row of any key that matches
+        if analysis.literals and indexed:
             parts = self.spark.read.parquet(*[f"{self.path}/{s.trigrams}" for s in indexed])
             having = {r.segment_id for r in trigrams.segments_with(parts, analysis.literals).collect()}
-            segments = [s for s in segments if s.id in having]
+            segments = [s for s in segments if not s.trigrams or s.id in having]
         return segments
 
     def live(self, as_of: int | None = None) -> DataFrame:
@@ -317,7 +317,7 @@ class Store:
 
     def verify(self) -> DataFrame:
         """(id, ok, problem): whether each segment can be read and holds what its entry says."""
-        self._usable() if hasattr(self, "_closed") else None
+        self._usable()
         out = []
         for s in self.manifest().segments:
             try:
