@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytide.llm.text import count_words
-from keytide.session import written
+from keytide.session import pin_splits, small, written
 
 BUCKET = 4096
 #: Rates are integers of 1 / SCALE.
@@ -112,12 +112,17 @@ def _few(df: DataFrame, most: int = FEW) -> bool:
 
 
 def mix(docs: DataFrame, id_col: str, text: str, source: str, *, keep: list[str] | None = None, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
-    """The columns `keep` of `docs` (all by default) and _size, _source_size, _target, _rate, _copies: how often the mix takes each row."""
+    """The columns `keep` of `docs` (all by default) and _size, _source_size, _target, _rate, _copies: how often the mix takes each row.
+
+    `docs` is read more than once for columns beside id and source, and must give the same rows each time, as a table does.
+    """
+    pin_splits(docs.sparkSession)
     m = max_copies
     kept = docs.columns if keep is None else keep
-    rows = docs.select(*kept, F.col(source).alias("_source"), count_words(text).alias("_size"), F.xxhash64(F.col(id_col).cast("string"), source, text).alias("_hash"))
+    # one pass over the texts leaves a narrow table; whole rows come back only if they are asked for
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(source).alias("_source"), count_words(text).alias("_size"), F.xxhash64(F.col(id_col).cast("string"), source, text).alias("_hash"))
     # size classes a quarter of a power of two wide
-    rows = rows.withColumn("_class", F.floor(4 * F.log2(F.col("_size") + 1)).cast("int"))
+    rows = written(rows.withColumn("_class", F.floor(4 * F.log2(F.col("_size") + 1)).cast("int")), "mix-rows")
     sizes = written(rows.groupBy("_source", "_class", "_size").agg(F.count("*").alias("n")), "mix-sizes")
     solved = rates(sizes, targets(sizes, weights, m), m).withColumnRenamed("_source", "_of")
     # large classes are cut by hash, so that no bucket holds much more than BUCKET rows
@@ -135,8 +140,14 @@ def mix(docs: DataFrame, id_col: str, text: str, source: str, *, keep: list[str]
     start = written(start, "mix-start")
     rows = rows.drop("_of", "_ofc", "_ofs")
     rows = rows.join(F.broadcast(start) if _few(start) else start, rows["_source"].eqNullSafe(start["_of"]) & (rows["_class"] == start["_ofc"]) & (rows["_slot"] == start["_ofs"]))
-    inside = Window.partitionBy(*bucket).orderBy(F.desc("_size"), "_hash", F.col(id_col).cast("string") if id_col in kept else F.lit(0))
+    inside = Window.partitionBy(*bucket).orderBy(F.desc("_size"), "_hash", "_rid")
     # from half a copy on, largest documents first: what is rounded off stays below half the gaps between sizes
     upto = SCALE // 2 + F.col("_start") + F.sum("_q").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     copies = F.shiftright(upto, 40) - F.shiftright(upto - F.col("_q"), 40)
-    return rows.select(*kept, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), (F.col("_q") / SCALE).alias("_rate"), copies.cast("int").alias("_copies"))
+    out = ["_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), (F.col("_q") / SCALE).alias("_rate"), copies.cast("int").alias("_copies")]
+    if set(kept) <= {id_col, source}:
+        return rows.select(*[F.col("_id" if c == id_col else "_source").alias(c) for c in kept], *out)
+    chosen = written(rows.select("_rid", *out), "mix-copies")
+    whole = docs.select(F.monotonically_increasing_id().alias("_rid"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
+    joined = whole.join(small(chosen, 64 * chosen.count()), "_rid")
+    return joined.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], *chosen.columns[1:])

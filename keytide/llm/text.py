@@ -37,10 +37,7 @@ def crc_mod(col: str, n: int) -> Column:
 
 def count_words(col: str) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column, null and empty: 0. Stays in the JVM."""
-    text = F.coalesce(F.col(col), F.lit(""))
-    flat = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    pieces = F.split(flat, " ")
-    return (F.size(pieces) - F.size(F.filter(pieces, lambda x: x == ""))).cast("long")
+    return F.regexp_count(F.coalesce(F.col(col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
