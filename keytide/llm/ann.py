@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from keytide.llm.vectors import Best, query_blocks, searched, sharded, taking_part
 
 SEED = 20
+#: A table is visited for so many rows at least, so a small shard is searched whole.
+LEAST = 64
 
 
 @dataclass
@@ -68,7 +70,7 @@ def search(block: tuple, index: Index, best: Best, tables: int, hashes: int, wid
     a, shift = projections(q.shape[1], tables, hashes, width)
     norm = np.linalg.norm(q, axis=1)
     n = len(index.ids)
-    last = min(n, max(1, int(np.ceil(visit * n)))) - 1
+    last = min(n, max(LEAST, int(np.ceil(visit * n)))) - 1
     seen = np.zeros((len(q), n), bool)
     for t, (buckets, of) in enumerate(index.tables):
         which, slot, inside = _indicator(buckets)
