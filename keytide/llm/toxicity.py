@@ -116,26 +116,25 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
     del words
     data = np.frombuffer(b" " + b" ".join(spelled[k] for k in keys.tolist()) + b" ", np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]), _SEP)
-    word_at, bucket_at = [], []
+    del spelled
+    grams: list[tuple[np.ndarray, np.ndarray]] = []  # word and bucket of each n-gram, by n
+    per = np.zeros(len(keys), np.int64)
     for bucket, use in _grams(data, bits):
         i = np.flatnonzero(use)
-        word_at.append(np.searchsorted(s - 1, i, "right") - 1)
-        bucket_at.append(bucket[i])
-    w, b = np.concatenate(word_at), np.concatenate(bucket_at).astype(np.int64)
-    per = np.maximum(np.bincount(w, minlength=len(keys)), 1)
-    used, b = np.unique(b, return_inverse=True)
+        grams.append(((np.searchsorted(s, i + 1, "right") - 1).astype(np.int32), bucket[i].astype(np.int32)))
+        per += np.bincount(grams[-1][0], minlength=len(keys))
+    del data, bucket, use, i
     start, length, rows = _windows(np.array(offsets))
     window_of, token = np.divmod(np.unique(np.repeat(np.arange(len(start)), length) * max(len(keys), 1) + token), max(len(keys), 1))
     divide = np.maximum(length, LEAST)
     row_of = np.repeat(np.arange(len(texts)), np.diff(rows))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rng = np.random.default_rng(seed)
-    emb, soft, bias = rng.normal(0, 0.01, (len(used), dim)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
+    emb, soft, bias = rng.normal(0, 0.01, (1 << bits, dim)), rng.normal(0, 0.3, (dim, 2)), np.array([1.5, -1.5])
     moments = [[np.zeros_like(p)] for p in (emb, soft, bias)]
-    order = np.arange(len(start))
     for t in range(1, rounds + 1):
         v = emb @ (soft[:, 1] - soft[:, 0])
-        word = np.bincount(w, weights=v[b], minlength=len(keys)) / per
+        word = sum(np.bincount(w, weights=v[b], minlength=len(keys)) for w, b in grams) / per
         window = np.bincount(window_of, weights=word[token], minlength=len(start)) / divide
         if t <= rounds // 3:
             share = 1.0 / np.maximum(np.diff(rows), 1)[row_of]
@@ -148,15 +147,13 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         delta = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g_window = delta[row_of] * share / divide
         g_word = np.bincount(token, weights=g_window[window_of], minlength=len(keys)) / per
-        g = np.bincount(b, weights=g_word[w], minlength=len(used))
+        g = sum(np.bincount(b, weights=g_word[w], minlength=1 << bits) for w, b in grams)
         down = g @ emb
         grads = (np.outer(g, soft[:, 1] - soft[:, 0]) + 1e-7 * emb, np.stack([-down, down], 1), np.array([-delta.sum(), delta.sum()]))
         for k, (p, grad, m) in enumerate(zip((emb, soft, bias), grads, moments)):
             m[0] = 0.9 * m[0] + grad
             p -= STEPS[k] * m[0]
-    out = np.zeros(1 << bits, np.float32)
-    out[used] = emb @ (soft[:, 1] - soft[:, 0])
-    return Model(out, float(bias[1] - bias[0]), bits)
+    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, *, per_class: int = 2000, max_bytes: int = 14 << 20, bits: int = BITS, dim: int = 8, rounds: int = 120, seed: int = 7) -> Model:
