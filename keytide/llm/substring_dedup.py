@@ -165,32 +165,55 @@ def _shard(part: pa.Table, width: int) -> pa.Table:
     return out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
 
+def _ordinals(row: np.ndarray) -> np.ndarray:
+    """The number of each segment within its row; rows are in order."""
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    at = np.arange(len(row))
+    return at - np.maximum.accumulate(np.where(first, at, 0)) if len(row) else at
+
+
 def repeated_spans(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """(_rid, spans) of the documents of rows (_rid, _text) with repeated windows; spans overlap where segments do."""
+    """(_rid, spans) of the documents of rows (_rid, _text) with repeated windows; spans are disjoint: start, end, start, end ..."""
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, start, n, g = segments(b.column(1), width, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(g), b.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["gram", "_rid", "start", "n"])
+            row, _, _, g = segments(b.column(1), width, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), b.column(0).take(pa.array(row)), pa.array(_ordinals(row), pa.int32())], ["gram", "_rid", "number"])
 
-    found = rows.mapInArrow(minimisers, "gram bigint, _rid bigint, start int, n int")
+    found = rows.mapInArrow(minimisers, "gram bigint, _rid bigint, number int")
     twice = found.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    wanted = written(found.join(twice, "gram").groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "gram"))).alias("cuts")), "candidates")
-    n, m = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()
+    # four bytes a segment: its number within the document; the cut itself is found again in the text
+    wanted = written(found.join(twice, "gram").groupBy("_rid").agg(F.array_sort(F.collect_list("number")).alias("numbers")), "candidates")
+    n, m = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid, start, grams, text = [], [], [], []
-            for r, t, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = t.encode().split()
-                for c in cuts:
-                    rid.append(r)
-                    start.append(c["start"])
-                    grams.append(c["gram"])
-                    text.append(b" ".join(words[c["start"] : c["start"] + c["n"] + width - 1]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(grams, pa.int64()), pa.array(text, pa.string())], ["_rid", "start", "gram", "segment"])
-
-    cuts = rows.join(small(wanted, 64 * n + 32 * m), "_rid").select("_rid", "_text", "cuts").mapInArrow(cut, "_rid bigint, start int, gram bigint, segment string")
+            row, start, n, g = segments(b.column(1), width, gram)
+            at = np.searchsorted(row, np.arange(len(b)))
+            take = np.concatenate([np.zeros(0, np.int64), *[at[i] + np.asarray(x.values) for i, x in enumerate(b.column(2))]])
+            text = []
+            own, words = -1, []
+            for k in take.tolist():
+                if row[k] != own:
+                    own = row[k]
+                    words = b.column(1)[int(own)].as_py().encode().split()
+                text.append(b" ".join(words[start[k] : start[k] + n[k] + width - 1]).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[take])), pa.array(start[take], pa.int32()), pa.array(g[take], pa.int64()), pa.array(text, pa.string())], ["_rid", "start", "gram", "segment"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for spans in b.column(1).to_pylist():
+                own: list[int] = []
+                for s in spans:
+                    if own and s["a"] <= own[-1]:
+                        own[-1] = max(own[-1], s["b"])
+                    else:
+                        own += [s["a"], s["b"]]
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["_rid", "spans"])
+
+    cuts = rows.join(small(wanted, 40 * n + 4 * m), "_rid").select("_rid", "_text", "numbers").mapInArrow(cut, "_rid bigint, start int, gram bigint, segment string")
     cuts = written(cuts.withColumn("one", F.xxhash64("segment")).withColumn("two", F.xxhash64("segment", F.lit(2))), "segments")
     key = ["gram", "one", "two"]
     references = cuts.groupBy(*key).agg(F.first("segment").alias("segment"), F.count("*").alias("number"))
@@ -199,7 +222,8 @@ def repeated_spans(rows: DataFrame, width: int, gram: int) -> DataFrame:
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")
     judged = references.select(shard, *key, "segment", "number").groupBy("shard").applyInArrow(lambda t: _shard(t, width), "gram bigint, one bigint, two bigint, spans array<struct<a:int,b:int>>")
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    return cuts.select("_rid", "start", *key).join(judged, key).select("_rid", moved.alias("spans")).groupBy("_rid").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    per = cuts.select("_rid", "start", *key).join(judged, key).select("_rid", moved.alias("spans")).groupBy("_rid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return per.mapInArrow(merged, "_rid bigint, spans array<int>")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str, text: str, *, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -220,10 +244,10 @@ def dedup_substrings(docs: DataFrame, id_col: str, text: str, *, width: int = WI
             for t, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = t.encode().split()
                 left, at = [], 0
-                for s in own or []:
-                    if s["a"] > at:
-                        left += words[at : s["a"]]
-                    at = max(at, s["b"])
+                own = own or []
+                for a, b_ in zip(own[::2], own[1::2]):
+                    left += words[at:a]
+                    at = b_
                 left += words[at:]
                 out = b" ".join(left)
                 total.append(len(words))
@@ -233,5 +257,5 @@ def dedup_substrings(docs: DataFrame, id_col: str, text: str, *, width: int = WI
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.join(small(spans, 64 * n + 16 * m), "_rid", "left").select("_id", "_text", "spans")
+    out = rows.join(small(spans, 40 * n + 4 * m), "_rid", "left").select("_id", "_text", "spans")
     return out.mapInArrow(rebuilt, f"id {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
