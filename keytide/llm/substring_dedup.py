@@ -172,6 +172,13 @@ def _ordinals(row: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(first, at, 0)) if len(row) else at
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that no more than a piece's texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def repeated_spans(rows: DataFrame, width: int, gram: int) -> DataFrame:
     """(_rid, spans) of the documents of rows (_rid, _text) with repeated windows; spans are disjoint: start, end, start, end ..."""
 
@@ -187,7 +194,7 @@ def repeated_spans(rows: DataFrame, width: int, gram: int) -> DataFrame:
     n, m = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             row, start, n, g = segments(b.column(1), width, gram)
             at = np.searchsorted(row, np.arange(len(b)))
             take = np.concatenate([np.zeros(0, np.int64), *[at[i] + np.asarray(x.values) for i, x in enumerate(b.column(2))]])
@@ -239,7 +246,7 @@ def dedup_substrings(docs: DataFrame, id_col: str, text: str, *, width: int = WI
     n, m = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             total, gone, kept, sha = [], [], [], []
             for t, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = t.encode().split()
