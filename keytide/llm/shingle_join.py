@@ -13,9 +13,13 @@ candidate pair overlaps; sums over the fragments are exact.
    n - ceil(t n) + 1: the prefix index.
 4. Candidates come from the index in rounds: each shingle offers its members a few hubs; pairs inside a component found
    so far are left out; fragments count the partial overlaps and their sum decides a link. Large groups of
-   near copies thus need about a pair for each member. At last all pairs of the index between different components
-   are counted, without a cap.
-5. Connected components of the links, and the classes' members, give each document its component.
+   near copies thus need about a pair for each member.
+5. Where an index entry still holds several components, all its members outside the largest one are probed against
+   everything: a fragment counts a probe's partial overlaps with all sets of other components at once, over its inverted
+   lists, and sends them on as one packed row, without those that miss more of the probe in the fragment alone than a link may miss in all.
+   Sums over the fragments decide; a probe returns a link for each component it reaches. No pair of the
+   index is left out, and no pair is a row.
+6. Connected components of the links, and the classes' members, give each document its component.
 
 Defined cases: null texts, empty texts and texts without words have an empty set and are linked with nothing; fewer words than
 five are one shingle, the whole sequence; equal rows are linked by their equal sets; the component of rows with null ids is
@@ -38,10 +42,10 @@ from keytide.session import ship, small, written
 
 WIDTH = 5
 #: Shingles of a fragment, and of a packed row, about.
-FRAGMENT = 4_000_000
-PACKED = 8_000_000
+FRAGMENT = 2_000_000
+PACKED = 3_000_000
 PAIRS = 500_000
-HUBS = (1, 4, 16)
+HUBS = (1, 4)
 
 
 def shingle_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -287,32 +291,78 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
 
     segments = sets.select("_rid", "hashes").mapInArrow(cut, "cls bigint, fragment int, segment binary")
     links = tested = None
-    for round_, hubs in enumerate((*HUBS, 0)):
-        at = index
-        if links is not None:
-            found = written(components(links), "found")
-            at = index.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            mixed = at.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-            at = at.join(mixed, "h")
-        else:
-            at = at.withColumn("comp", F.col("cls"))
-        if hubs:
-            hub = at.groupBy("h", F.pmod(F.xxhash64("cls", F.lit(round_)), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("hub")).select("h", "hub")
-        else:
-            hub = at.select("h", F.struct("cls", "n", "comp").alias("hub"))
+    for round_, hubs in enumerate(HUBS):
+        at = _open_entries(index, links)
+        hub = at.groupBy("h", F.pmod(F.xxhash64("cls", F.lit(round_)), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("hub")).select("h", "hub")
         size = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("comp") != F.col("hub.comp"))
-        if not hubs:
-            size &= F.col("cls") < F.col("hub.cls")
         low = F.col("cls") < F.col("hub.cls")
         pairs = at.join(hub, "h").where(size).select(F.when(low, F.col("cls")).otherwise(F.col("hub.cls")).alias("a"), F.when(low, F.col("hub.cls")).otherwise(F.col("cls")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(low, F.col("hub.n")).otherwise(F.col("n")).alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if not hubs:
-                break
             continue
         new = written(_verified(pairs, segments, fragments, percent), "verified")
         links = new if links is None else links.union(new)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-    return links
+    at = _open_entries(index, links)
+    per = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
+    largest = per.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("most")).select("h", F.col("most.comp").alias("most"))
+    probes = written(at.join(largest, "h").where(F.col("comp") != F.col("most")).select("cls").distinct(), "probes")
+    if probes.isEmpty():
+        return links
+    # every set with its component and whether it is probed
+    known = _with_components(sets.select(F.col("_rid").alias("cls"), (F.octet_length("hashes") / 8).cast("long").alias("n")), links)
+    known = written(known.join(probes.withColumn("probe", F.lit(True)), "cls", "left").withColumn("probe", F.col("probe").isNotNull()), "known")
+    told = segments.join(known, "cls").groupBy("fragment").applyInArrow(lambda t: _probed(t, percent), "cls bigint, n bigint, members binary, counts binary, sizes binary, comps binary")
+    found = told.groupBy("cls").applyInArrow(lambda t: _reached(t, percent), "a bigint, b bigint")
+    found = written(found, "probed")
+    return found if links is None else links.union(found)
+
+
+def _with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Rows with `cls`, and the component that the links so far give it."""
+    if links is None:
+        return rows.withColumn("comp", F.col("cls"))
+    found = written(components(links), "found").withColumnRenamed("node", "cls")
+    return rows.join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
+def _open_entries(index: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(h, cls, n, comp): the index's entries that hold more than one component."""
+    at = _with_components(index, links)
+    several = at.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    return at.join(several, "h")
+
+
+def _probed(part: pa.Table, percent: int) -> pa.Table:
+    """In one fragment, of each probe: the sets of other components it may link to, and the partial overlaps."""
+    cls, n, comp = (np.asarray(part[c], np.int64) for c in ("cls", "n", "comp"))
+    probe = np.asarray(part["probe"])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in part["segment"].chunks for x in c]
+    length = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    member, every = np.repeat(np.arange(len(sets)), length)[order], every[order]
+    out = []
+    for i in np.flatnonzero(probe).tolist():
+        low, high = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
+        count = np.bincount(np.concatenate([member[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(sets))
+        may = (count > 0) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (100 * (length[i] - count) <= (100 - percent) * n[i])
+        at = np.flatnonzero(may)
+        out.append((int(cls[i]), int(n[i]), cls[at].tobytes(), count[at].astype(np.int64).tobytes(), n[at].tobytes(), comp[at].tobytes()))
+    names = ["cls", "n", "members", "counts", "sizes", "comps"]
+    return pa.table({c: pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(names)})
+
+
+def _reached(part: pa.Table, percent: int) -> pa.Table:
+    """A probe's links, one for each component it reaches, from its partial overlaps in all fragments."""
+    cls, n = part["cls"][0].as_py(), part["n"][0].as_py()
+    member, count, size, comp = (np.concatenate([np.frombuffer(x, np.int64) for x in part[c].to_pylist()]) for c in ("members", "counts", "sizes", "comps"))
+    ids, first, at = np.unique(member, return_index=True, return_inverse=True)
+    common = np.bincount(at, weights=count, minlength=len(ids)).astype(np.int64)
+    # a fragment without a segment of the member, or that ruled it out, adds nothing; a true link is never ruled out
+    good = (100 + percent) * common >= percent * (n + size[first])
+    _, one = np.unique(comp[first][good], return_index=True)
+    b = ids[good][one]
+    return pa.table({"a": pa.array(np.full(len(b), cls)), "b": pa.array(b)})
