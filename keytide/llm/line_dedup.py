@@ -1,10 +1,15 @@
 """Line dedup by pairwise alignment: aligned common blocks go from the later document.
 
-Lines end at line feeds and are compared without white space around them, by a 64-bit hash. Every line
-of `min_chars` characters or more that two documents share proposes pairs: its owner, the first document
-that holds it, with each later one. So a document meets at most as many partners as it has
-lines, a line that a third of all documents share costs a pair for each of them and no more, and no cut by document
-frequency drops cases. Rarity works where it does in a patience diff: the alignment of a
+Lines end at line feeds and are compared without white space around them, by a 64-bit hash. Two documents
+are a pair if they share a window: adjacent lines that have `min_chars` characters together, at least one of them `min_chars` long. A line is deleted if an
+alignment with any earlier document of a pair puts it into a block of `min_chars` characters or more, so into
+a window around it; the shortest windows around each line therefore propose all partners that matter. They
+do so in rounds: first each window's first holder, then, for the lines no alignment has covered yet, ever
+larger groups of the holders after it, until no line is open. A line that a third of all documents share
+costs a pair for each of them as long as the first holder's alignment covers it. Documents of equal shared lines, equally
+adjacent, are one partner, the first, which also covers all that the others can lose. No cut by document frequency drops cases.
+
+Rarity works where it does in a patience diff: the alignment of a
 pair is anchored on lines that occur once in both, then goes on between the anchors; where no such line
 is left, the k-th occurrences of a line are matched. Runs of aligned lines that are adjacent in both documents are blocks; blocks of
 `min_chars` characters or more are deleted from the later document. Alignments are
@@ -19,17 +24,21 @@ line before it; repeated ids and rows are documents of their own; an empty table
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytide.session import ship, small, written
 
 MIN_CHARS = 20
+#: Each round but the first tries so many times as many holders of a window as the one before.
+WIDER = 4
 
 
 def _increasing(ranks: list[int]) -> list[int]:
@@ -103,12 +112,82 @@ def common_blocks(a: list[tuple[int, int, int]], b: list[tuple[int, int, int]],
     return out
 
 
+def windows(lines: list[tuple[int, int, int]], min_chars: int) -> list[tuple[int, int]]:
+    """(line number, hash) of the shortest runs of adjacent lines around each line that have enough characters."""
+    out = []
+    total = list(accumulate((c for _, _, c in lines), initial=0))
+    low = 0
+    ends = [k for k in range(1, len(lines) + 1) if k == len(lines) or lines[k][0] != lines[k - 1][0] + 1]
+    for high in ends:
+        for k in range(low, high):
+            start, end = k, high + 1
+            while start >= low and end > k + 1:
+                here = max(k + 1, bisect_left(total, total[start] + min_chars))
+                if here <= high and here < end and max(c for _, _, c in lines[start:here]) >= min_chars:
+                    out.append((lines[k][0], lines[k][1] if here == start + 1 else hash(tuple(h for _, h, _ in lines[start:here]))))
+                    end = here
+                start -= 1
+        low = high
+    return out
+
+
+def _kinds(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[pd.DataFrame]:
+    """Of each document's lines a digest that equal sequences have, equally adjacent, and the windows."""
+    for pdf in batches:
+        kind, at, key = [], [], []
+        for found in pdf["lines"]:
+            lines = [(r["n"], r["h"], r["c"]) for r in found]
+            steps = [x[0] - y[0] == 1 for x, y in zip(lines[1:], lines)]
+            kind.append(hashlib.blake2b(repr(([x[1] for x in lines], steps)).encode(), digest_size=16).digest())
+            own = windows(lines, min_chars)
+            at.append([n for n, _ in own])
+            key.append([h for _, h in own])
+        yield pd.DataFrame({"_rid": pdf["_rid"], "kind": kind, "at": at, "key": key})
+
+
 def _aligned(batches: Iterator[pd.DataFrame], min_chars: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         gone = [common_blocks([(r["n"], r["h"], r["c"]) for r in a], [(r["n"], r["h"], r["c"]) for r in b], min_chars) for a, b in zip(pdf["a"], pdf["b"])]
         yield pd.DataFrame({"_rid": pdf["_rid"], "gone": gone})
 
 
+def _covered(found: DataFrame, per: DataFrame, min_chars: int) -> DataFrame:
+    """(_rid, p) of the lines that go from every document of `found` whose windows' first holders, and those after them, align them."""
+    held = written(per.mapInPandas(lambda x: _kinds(x, min_chars), "_rid bigint, kind binary, at array<int>, key array<bigint>").where(F.size("at") > 0), "document-windows")
+    held = held.join(found.select("_rid", "o").distinct(), "_rid")
+    several = held.groupBy("kind").agg(F.min("o").alias("rep"), F.max("o").alias("last")).where("rep <> last").select("kind", F.col("rep._rid").alias("rep"))
+    held = written(held.join(several, "kind", "left").select("_rid", "o", "rep", "at", "key"), "document-kinds")
+    copies = held.where("rep <> _rid").select("_rid", F.col("rep").alias("owner"))
+    keys = held.where("rep is null or rep = _rid").select("_rid", "o", F.explode(F.arrays_zip("at", "key")).alias("w")).select("_rid", "o", F.col("w.at").alias("p"), F.col("w.key").alias("k"))
+    first = keys.groupBy("k").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first <> last").select("k", F.col("first._rid").alias("owner"))
+    keys = written(keys.join(first, "k"), "shared-windows")
+    later = per.select("_rid", F.col("lines").alias("b"))
+    owners = per.select(F.col("_rid").alias("owner"), F.col("lines").alias("a"))
+
+    def align(pairs: DataFrame) -> DataFrame:
+        out = pairs.distinct().join(later, "_rid").join(owners, "owner").select("_rid", "a", "b").mapInPandas(lambda x: _aligned(x, min_chars), "_rid bigint, gone array<int>")
+        return written(out.select("_rid", F.explode("gone").alias("p")).distinct(), "aligned-lines")
+
+    pairs = keys.where("owner <> _rid").select("_rid", "owner")
+    gone = align(pairs.union(copies))
+    still = written(keys.where("owner <> _rid").select("_rid", "p", "k").join(gone, ["_rid", "p"], "left_anti"), "open-lines")
+    if still.isEmpty():
+        return gone
+    holders = keys.join(still.select("k").distinct(), "k", "left_semi").select("k", "_rid", "o").distinct()
+    holders = written(holders.select("k", "_rid", F.row_number().over(Window.partitionBy("k").orderBy("o")).alias("r")), "window-holders")
+    still = still.join(holders, ["k", "_rid"])
+    low, high = 2, 1 + WIDER
+    while True:
+        still = written(still.where(F.col("r") > low), "open-lines")
+        if still.isEmpty():
+            return gone
+        some = holders.where(F.col("r").between(low, high)).select("k", F.col("_rid").alias("owner"), F.col("r").alias("s"))
+        more = align(still.join(some, "k").where("s < r").select("_rid", "owner"))
+        gone = gone.union(more)
+        still = still.join(more, ["_rid", "p"], "left_anti")
+        low, high = high + 1, high + WIDER * (high - low + 1)
+
+
 def dedup_lines(docs: DataFrame, id_col: str, text: str, *, keep: list[str] | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns `keep` of `docs` (all by default) with _text (what is left), _n_lines and _n_removed.
 
@@ -119,17 +198,13 @@ def dedup_lines(docs: DataFrame, id_col: str, text: str, *, keep: list[str] | No
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text).alias("_in"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
     lines = rows.select("_rid", "_id", F.posexplode(F.split("_in", "\n")).alias("p", "line")).select("_rid", "_id", "p", F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")).alias("line"))
     lines = lines.where("line <> ''").select("_rid", "_id", "p", F.xxhash64("line").alias("h"), F.length("line").alias("c"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_rid")).alias("first")
+    order = F.struct(F.col("_id").isNull().alias("no"), "_id", "_rid")
     # a line repeated within one document only isn't shared
-    shared = lines.groupBy("h").agg(first, F.max(F.struct(F.col("_id").isNull().alias("no"), "_id", "_rid")).alias("last")).where("first <> last").select("h", F.col("first._rid").alias("owner"))
-    found = written(lines.join(shared, "h").select("_rid", "p", "h", "c", "owner"), "shared-lines")
+    shared = lines.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h")
+    found = written(lines.join(shared, "h").select("_rid", order.alias("o"), "p", "h", "c"), "shared-lines")
     per = found.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("n"), "h", "c"))).alias("lines"))
     per = written(per, "shared-per-document")
-    pairs = found.where((F.col("c") >= min_chars) & (F.col("owner") != F.col("_rid"))).select("_rid", "owner").distinct()
-    later = per.select("_rid", F.col("lines").alias("b"))
-    owners = per.select(F.col("_rid").alias("owner"), F.col("lines").alias("a"))
-    aligned = pairs.join(later, "_rid").join(owners, "owner").select("_rid", "a", "b").mapInPandas(lambda x: _aligned(x, min_chars), "_rid bigint, gone array<int>")
-    gone = written(aligned.where(F.size("gone") > 0).select("_rid", F.explode("gone").alias("p")).distinct().groupBy("_rid").agg(F.sort_array(F.collect_list("p")).alias("gone")), "aligned-lines")
+    gone = written(_covered(found, per, min_chars).groupBy("_rid").agg(F.sort_array(F.collect_set("p")).alias("gone")), "gone-lines")
     n, m = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     split = F.split("_in", "\n")
     number = F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "").alias("blank")))

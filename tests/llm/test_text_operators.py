@@ -102,6 +102,39 @@ def test_line_dedup_equals_the_pairwise_definition(docs, none, rows):
     assert line_dedup.dedup_lines(none, "doc_id", "text").count() == 0
 
 
+def all_pairs(texts: list[str]) -> list[list[int]]:
+    """Lines deleted from each text by aligning it with every earlier one."""
+    lines = [[(p, x.strip(), len(x.strip())) for p, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    return [sorted({p for a in lines[:i] for p in line_dedup.common_blocks(a, b, 20)}) for i, b in enumerate(lines)]
+
+
+def left_of(texts: list[str], gone: list[list[int]]) -> dict:
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in g) for i, (t, g) in enumerate(zip(texts, gone))}
+
+
+def test_line_dedup_tries_later_holders(spark):
+    import random
+
+    rng = random.Random(8)
+    p, q = ([prose(rng, 12) for _ in range(3)] for _ in range(2))
+    own = [prose(rng, 12) for _ in range(9)]
+    texts = [[*p, *q], [*q, own[0]], [*q, *p]]  # the third is aligned with the first in one block only
+    texts += [[own[1], p[0], own[2]], ["short x", p[0], "short y"], [own[3], "short x", p[0], "short y"]]  # the first holder lacks the neighbours
+    texts += [[own[4 + k % 5], q[k % 3], p[1], q[0], p[k % 3]] for k in range(12)]
+    texts = ["\n".join(t) for t in texts]
+    want = all_pairs(texts)
+    assert want[2] == [0, 1, 2, 3, 4, 5] and want[5] == [1, 2, 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r._text for r in line_dedup.dedup_lines(df, "doc_id", "text").collect()} == left_of(texts, want)
+
+
+def test_line_dedup_equals_all_pairs_of_the_corpus(docs, rows):
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    want = Counter((rows[i][0], len(g)) for i, g in zip(order, all_pairs([rows[i][1] or "" for i in order])))
+    found = line_dedup.dedup_lines(docs, "doc_id", "text", keep=["doc_id"]).collect()
+    assert Counter((r.doc_id, r._n_removed) for r in found) == want
+
+
 def test_patience():
     assert line_dedup.patience(list("abcdefg"), list("abxdefyg")) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5), (6, 7)]
     assert line_dedup.patience(list("xxx"), list("xx")) == [(0, 0), (1, 1)] and line_dedup.patience([], ["a"]) == []
