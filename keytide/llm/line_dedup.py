@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment: aligned common blocks go from the later document.
 
 Lines end at line feeds and are compared without white space around them, by a 64-bit hash. Two documents
-are a pair if they share a window: adjacent lines that have `min_chars` characters together, at least one of them `min_chars` long. A line is deleted if an
+are a pair if they share a window: adjacent lines that have `min_chars` characters together. A line is deleted if an
 alignment with any earlier document of a pair puts it into a block of `min_chars` characters or more, so into
 a window around it; the shortest windows around each line therefore propose all partners that matter. They
 do so in rounds: first each window's first holder, then, for the lines no alignment has covered yet, ever
@@ -123,7 +123,7 @@ def windows(lines: list[tuple[int, int, int]], min_chars: int) -> list[tuple[int
             start, end = k, high + 1
             while start >= low and end > k + 1:
                 here = max(k + 1, bisect_left(total, total[start] + min_chars))
-                if here <= high and here < end and max(c for _, _, c in lines[start:here]) >= min_chars:
+                if here <= high and here < end:
                     out.append((lines[k][0], lines[k][1] if here == start + 1 else hash(tuple(h for _, h, _ in lines[start:here]))))
                     end = here
                 start -= 1

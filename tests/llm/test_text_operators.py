@@ -128,6 +128,19 @@ def test_line_dedup_tries_later_holders(spark):
     assert {r.doc_id: r._text for r in line_dedup.dedup_lines(df, "doc_id", "text").collect()} == left_of(texts, want)
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    import random
+
+    rng = random.Random(9)
+    verse = ["if x:", "y = 1", "else:", "y = 2", "f(y)", "end"]
+    texts = ["\n".join(verse), "\n".join([prose(rng, 12), *verse]), "\n".join(verse), "\n".join(verse[:2])]
+    texts += ["\n".join(rng.choices(verse, k=rng.randint(1, 12))) for _ in range(60)]
+    want = all_pairs(texts)
+    assert want[1] == [1, 2, 3, 4, 5, 6] and want[2] == [0, 1, 2, 3, 4, 5] and want[3] == []
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r._text for r in line_dedup.dedup_lines(df, "doc_id", "text").collect()} == left_of(texts, want)
+
+
 def test_line_dedup_equals_all_pairs_of_the_corpus(docs, rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     want = Counter((rows[i][0], len(g)) for i, g in zip(order, all_pairs([rows[i][1] or "" for i in order])))
