@@ -10,7 +10,8 @@ others descend through each text's most toxic window.
 With n-gram vectors E and softmax W, the logit difference of a word is linear in v = E (w1 - w0).
 Scoring therefore needs only v, a fixed 4 * 2^bits bytes that are broadcast, and one pass over whole texts.
 
-Fit: a bounded sample of `per_class` labelled texts of each class, `max_bytes` of text in all.
+Fit: a bounded sample of `per_class` labelled texts of each class, `max_bytes` of text in all. If a class has more,
+its longest texts are cut, by sampling their windows, to the one length at which all fit; none is left out.
 Defined cases: null and empty texts, and texts without a word, get the score of an empty window;
 null labels and null ids are not learned from; an id labelled more than once is toxic if any label
 is; without labels of both classes every score is the share of toxic labels (0 if there is none).
@@ -156,22 +157,51 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
+def _bound(sizes: list[int], room: int) -> int:
+    """The largest bound such that texts of these sizes, cut to it, fit into `room`."""
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > room:
+            return max(room // (len(sizes) - i), 1)
+        room -= n
+    return max(sizes, default=0)
+
+
+def _cut(text: str, bound: int, seed: int) -> str:
+    """`text`, or as many of its windows, drawn by `seed`, as have `bound` bytes together."""
+    raw = text.encode()
+    if len(raw) <= bound:
+        return text
+    words, taken = text.split(), {}
+    for k in np.random.default_rng(seed).permutation(-(-len(words) // WINDOW)).tolist():
+        piece = " ".join(words[k * WINDOW : (k + 1) * WINDOW])
+        size = len(piece.encode()) + 1
+        if size <= bound:
+            bound -= size
+            taken[k] = piece
+    return " ".join(taken[k] for k in sorted(taken)) or raw[:bound].decode(errors="ignore")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, *, per_class: int = 2000, max_bytes: int = 14 << 20, bits: int = BITS, dim: int = 8, rounds: int = 120, seed: int = 7) -> Model:
     """Learns `label` (1: toxic) of `labels` from the texts of `docs` with the same id."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     chosen = sorted(bounded(known, "y", "id", per_class, 2).collect(), key=lambda r: (r.y, r._draw, r.id))
     by = {k: [r for r in chosen if r.y == k][:per_class] for k in (0, 1)}
-    rows = []
+    texts = []
     if by[0] or by[1]:
+        ship(spark)
         ids = spark.createDataFrame([(r.id, r.y, r._draw) for k in (0, 1) for r in by[k]], known.select("id", "y").schema.add("draw", "long"))
         # at most 2 * per_class ids, so the broadcast is bounded
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").toLocalIterator()
-    texts, room = [], {0: max_bytes // 2, 1: max_bytes // 2}
-    for r in rows:
-        room[r.y] -= len((r.text or "").encode())
-        if room[r.y] >= 0:
-            texts.append((r.y, r.draw, r.text or ""))
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id").select("y", "draw", "text")
+        sizes = rows.select("y", F.octet_length("text").alias("n")).collect()
+        bound = {k: _bound([r.n for r in sizes if r.y == k], max_bytes // 2) for k in (0, 1)}
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                y, draw, whole = (c.to_pylist() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_cut(t, bound[k], d) for k, d, t in zip(y, draw, whole)], pa.string())], batch.schema.names)
+
+        texts = [(r.y, r.draw, r.text) for r in rows.mapInArrow(cut, rows.schema).toLocalIterator()]
     texts.sort()
     y = np.array([t[0] for t in texts], np.float64)
     if not len(y) or y.min() == y.max():

@@ -264,6 +264,29 @@ def test_toxicity_learns_stems_and_survives_odd_rows(spark, none):
     assert fit_toxicity(df, known.where("false"), "doc_id", "text", "toxic").v.max() == 0
 
 
+def test_toxicity_keeps_a_class_with_a_text_over_the_budget(spark):
+    import random
+
+    rng = random.Random(11)
+    data = [(i, prose(rng, 40) + (" stupid idiot trash" if i % 2 else "")) for i in range(80)]
+    data[0] = (0, prose(rng, 20_000))  # a clean text larger than the budget of its class, met first
+    df = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)
+    known = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    model = fit_toxicity(df, known, "doc_id", "text", "toxic", max_bytes=60_000)
+    assert model.v.any()  # both classes were learned from
+    out = {r.doc_id: r.score for r in score(df, "doc_id", "text", model).collect()}
+    assert all((out[i] >= 0.3) == (i % 2 == 1) for i in range(1, 80))
+
+
+def test_bounded_texts_fit_and_keep_windows():
+    from keytide.llm.toxicity import _bound, _cut
+
+    assert _bound([10, 20, 30], 100) == 30 and _bound([10, 100, 100], 90) == 40 and _bound([], 5) == 0
+    text = " ".join(f"w{i}" for i in range(1000))
+    part = _cut(text, 600, 3)
+    assert 300 < len(part) <= 600 and set(part.split()) < set(text.split()) and _cut("x" * 50, 20, 1) == "x" * 20 and _cut(text, 10_000, 1) == text
+
+
 def test_token_counts_equal_the_library(docs, none, rows):
     tokens = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
