@@ -3,7 +3,8 @@
 A word is the average of the embeddings of its character n-grams (3 to 5 bytes with word edges), so
 unseen misspellings share vectors with words seen. A window is the average over `WINDOW` words, each
 distinct word once (so one repeated word isn't a window), and a text is as toxic as its most toxic
-window: long texts don't dilute a short insult. Embeddings and
+window: long texts don't dilute a short insult. The maximum of more windows is higher by chance; the tail of
+the clean training texts' windows, taken as exponential, tells by how much, and scores of texts of more windows than usual in training are lowered by it. Embeddings and
 softmax are trained together by full-batch gradient descent with momentum; the first rounds average over the whole text, the
 others descend through each text's most toxic window.
 
@@ -36,6 +37,8 @@ BITS = 18
 WINDOW = 32
 #: A shorter window counts as so many words.
 LEAST = 8
+#: The windows of clean training texts above this quantile are their tail.
+TAIL = 0.9
 STEPS = (600.0, 0.3, 1.0)
 GRAMS = (3, 4, 5)
 #: Signs that stand in for letters stay inside words.
@@ -49,6 +52,9 @@ class Model:
     v: np.ndarray
     bias: float
     bits: int = BITS
+    #: The maximum over n windows counts less by tail * log(n / usual), if n is more than `usual`.
+    tail: float = 0.0
+    usual: float = 1.0
 
 
 def _padded(col: pa.Array) -> pa.Array:
@@ -154,7 +160,13 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         for k, (p, grad, m) in enumerate(zip((emb, soft, bias), grads, moments)):
             m[0] = 0.9 * m[0] + grad
             p -= STEPS[k] * m[0]
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
+    v = emb @ (soft[:, 1] - soft[:, 0])
+    word = sum(np.bincount(w, weights=v[b], minlength=len(keys)) for w, b in grams) / per
+    window = np.bincount(window_of, weights=word[token], minlength=len(start)) / divide
+    clean = window[y[row_of] == 0]
+    above = clean[clean > np.quantile(clean, TAIL)] - np.quantile(clean, TAIL) if len(clean) else clean
+    tail = float(above.mean()) if len(above) else 0.0
+    return Model(v.astype(np.float32), float(bias[1] - bias[0]), bits, tail, float(max(np.diff(rows).mean(), 1)))
 
 
 def _bound(sizes: list[int], room: int) -> int:
@@ -227,7 +239,7 @@ def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[s
                 window_of = np.repeat(np.arange(len(start)), length)
                 _, once = np.unique(word_hashes(data, s, e) + mix(window_of.astype(np.uint64)), return_index=True)
                 window = np.bincount(window_of[once], weights=word[once], minlength=len(start)) / np.maximum(length, LEAST)
-                z[row:end] = _segmented(np.maximum, window, rows, 0.0)
+                z[row:end] = _segmented(np.maximum, window, rows, 0.0) - m.tail * np.log(np.maximum(np.diff(rows) / m.usual, 1))
             score_ = pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], score_], [*[f"_k{i}" for i in range(len(kept))], "score"])
 

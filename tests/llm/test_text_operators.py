@@ -278,6 +278,25 @@ def test_toxicity_keeps_a_class_with_a_text_over_the_budget(spark):
     assert all((out[i] >= 0.3) == (i % 2 == 1) for i in range(1, 80))
 
 
+def test_toxicity_leaves_long_clean_prose_alone(spark):
+    import random
+
+    rng = random.Random(6)
+    data = []
+    for i in range(320):
+        w = prose(rng, rng.randint(5, 300)).split()
+        if i % 4 == 0:
+            for x in rng.sample(["stupid", "idiot", "worthless", "trash"], 3):
+                w.insert(rng.randrange(len(w)), x)
+        data.append((i, " ".join(w)))
+    long = [(1000 + k, prose(rng, 2000)) for k in range(8)] + [(2000, prose(rng, 1000) + " stupid idiot worthless trash " + prose(rng, 1000))]
+    df = spark.createDataFrame(data + long, "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(320)], "doc_id bigint, toxic int")
+    model = fit_toxicity(df, known, "doc_id", "text", "toxic", per_class=200)
+    out = {r.doc_id: r.score for r in score(df.where("doc_id >= 1000"), "doc_id", "text", model).collect()}
+    assert max(out[i] for i in range(1000, 1008)) < 0.3 <= out[2000]
+
+
 def test_bounded_texts_fit_and_keep_windows():
     from keytide.llm.toxicity import _bound, _cut
 
