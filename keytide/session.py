@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Where the tables of `written` are, as long as somebody holds them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Rows of an Arrow batch, where the session keeps Spark's own 10000: texts of a few kilobytes make batches of megabytes.
+ARROW_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Where it is unset (tests, a laptop) a local folder is made and recorded in the session,
-    so that a session keeps one folder.
+    Where it is unset, a local session (tests, a laptop) gets a temporary folder of its own and any
+    other the warehouse, which executors share too; the choice is kept in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.keytide.sharedDir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="keytide-")
+        one_machine = re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master)
+        base = "file://" + tempfile.mkdtemp(prefix="keytide-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/keytide"
         spark.conf.set("spark.keytide.sharedDir", base)
     return base.rstrip("/")
 
@@ -35,7 +42,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keytide-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` returned, once nothing that is still to run reads them."""
+    for t in tables:
+        if path := _paths.pop(t, None) if t is not None else None:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """`df` if it only selects from files, so that every read numbers its rows alike; else `df` written first."""
+    pin_splits(df.sparkSession)
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation") or not node.deterministic():
+            return written(df, "input")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
 
 
 def pin_splits(spark: SparkSession) -> None:
@@ -51,6 +81,8 @@ def pin_splits(spark: SparkSession) -> None:
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor (once per application)."""
     pin_splits(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
