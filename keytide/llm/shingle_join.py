@@ -4,11 +4,14 @@ The global order of the n-grams (5-word shingles, by a 64-bit hash) is cut into
 count on their own: first how many of a document's shingles any other text shares, later how much each
 candidate pair overlaps; sums over the fragments are exact.
 
-1. A document's shingle set gets a signature; documents with equal sets are a class, represented by one of them.
-2. Shingle hashes go to their fragments as packed arrays (4 bytes a shingle, a row for each
-   fragment and read task). A fragment returns, packed again, how many of each document's shingles are
-   its alone. A document that shares less than the threshold's part of its set can't link: it is done.
-3. What is left goes to the fragments with whole hashes, which return each shingle's number of documents.
+1. Shingle hashes go to their fragments as packed arrays, a row for each fragment and batch of documents that
+   have shingles in it: 4 bytes a shingle and 2 for the document's place in its batch, so a fragment's size follows
+   from its shingles, not from the number of documents. A fragment returns, packed again, how many of each
+   document's shingles another text has too. A document that shares less than the threshold's part of its set can't
+   link: it is done. The same pass makes the sets' signatures; documents with equal sets are a class, and one
+   of them stands for all.
+2. The sets of the classes that are left are made once more and written.
+3. They go to the fragments with whole hashes, which return those that several sets have, and how many.
    In the order (number, hash), two linked sets share a shingle among their first
    n - ceil(t n) + 1: the prefix index.
 4. Candidates come from the index in rounds: each shingle offers its members a few hubs; pairs inside a component found
@@ -23,7 +26,8 @@ candidate pair overlaps; sums over the fragments are exact.
 
 Defined cases: null texts, empty texts and texts without words have an empty set and are linked with nothing; fewer words than
 five are one shingle, the whole sequence; equal rows are linked by their equal sets; the component of rows with null ids is
-null if no member has an id, else the smallest id; an empty table gives an empty result.
+null if no member has an id, else the smallest id; other columns aren't read; a very long text is one set like others;
+an empty table gives an empty result. Shingles are compared by 64-bit hashes, sets by two sums of them (see `text`).
 """
 
 from __future__ import annotations
@@ -31,19 +35,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.components import components
 from keytide.llm.text import chunks, lowered, mix, rolled, word_hashes, word_spans
-from keytide.session import ship, small, written
+from keytide.session import discard, ship, small, steady, written
 
 WIDTH = 5
 #: Shingles of a fragment, and of a packed row, about.
 FRAGMENT = 2_000_000
-PACKED = 3_000_000
+PACKED = 2_000_000
+#: Documents of a packed row: their places have 16 bits.
+PLACES = 1 << 16
 PAIRS = 500_000
 HUBS = (1, 4)
 
@@ -66,130 +71,115 @@ def shingle_sets(col: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, one, two = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
-        for i, x in enumerate(shingle_sets(batch.column(1), width)):
-            n[i], one[i], two[i] = len(x), mix(x).sum(), mix(x ^ np.uint64(0x5555555555555555)).sum()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["_rid", "n", "one", "two"])
-
-
 def _cuts(x: np.ndarray, fragments: int) -> np.ndarray:
     """Where sorted hashes pass from fragment to fragment."""
     step = (1 << 64) // fragments
     return np.concatenate([[0], np.searchsorted(x, np.array([step * f for f in range(1, fragments)], np.uint64)), [len(x)]])
 
 
-def _packed(rids: list[int], sets: list[np.ndarray], signatures: list[int], fragments: int, code: np.dtype) -> Iterator[pa.RecordBatch]:
-    cuts = np.stack([_cuts(x, fragments) for x in sets])
-    ids, sig = np.array(rids, np.int64).tobytes(), np.array(signatures, np.uint64).tobytes()
-    out = []
-    for f in range(fragments):
-        codes = np.concatenate([x[a:b] for x, a, b in zip(sets, cuts[:, f], cuts[:, f + 1])])
-        out.append((f, rids[0], ids, sig, (cuts[:, f + 1] - cuts[:, f]).astype(np.int32).tobytes(), (mix(codes).astype(code) if code == np.uint32 else codes).tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), *[pa.array([r[k] for r in out], pa.binary()) for k in (2, 3, 4, 5)]], PACKED_NAMES)
+HEAD = np.dtype([("rid", np.int64), ("n", np.int64), ("one", np.int64), ("two", np.int64)])
+PACKED_SCHEMA = "fragment int, batch bigint, heads binary, docs binary, codes binary"
 
 
-PACKED_NAMES = ["fragment", "batch", "rids", "sigs", "runs", "codes"]
-PACKED_SCHEMA = "fragment int, batch bigint, rids binary, sigs binary, runs binary, codes binary"
+def _packed(rids: list[int], sets: list[np.ndarray], fragments: int, code: np.dtype) -> pa.RecordBatch:
+    """A batch's rows, one for each fragment that has some of its shingles; the first of them has the heads: row numbers, sizes and signatures."""
+    heads = np.zeros(len(rids), HEAD)
+    heads["rid"] = rids
+    heads["n"] = [len(x) for x in sets]
+    for k, salt in (("one", 0), ("two", 0x5555555555555555)):
+        heads[k] = np.array([mix(x ^ np.uint64(salt)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    every = np.concatenate(sets)
+    places = np.repeat(np.arange(len(sets), dtype=np.uint16), heads["n"])
+    fragment = np.minimum(every // np.uint64((1 << 64) // fragments), np.uint64(fragments - 1)).astype(np.int32) if fragments > 1 else np.zeros(len(every), np.int32)
+    order = np.argsort(fragment, kind="stable")
+    every, places, fragment = every[order], places[order], fragment[order]
+    codes = mix(every).astype(code) if code == np.uint32 else every
+    first = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]])) if len(every) else np.zeros(1, np.int64)
+    ends = [*first[1:].tolist(), len(every)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(fragment[first] if len(every) else np.zeros(1, np.int32)),
+            pa.array(np.full(len(first), rids[0], np.int64)),
+            pa.array([heads.tobytes() if k == 0 else b"" for k in range(len(first))], pa.binary()),
+            pa.array([places[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()),
+            pa.array([codes[a:b].tobytes() for a, b in zip(first.tolist(), ends)], pa.binary()),
+        ],
+        ["fragment", "batch", "heads", "docs", "codes"],
+    )
 
 
 def _packs(rows: Iterator[tuple[int, np.ndarray]], fragments: int, code: np.dtype) -> Iterator[pa.RecordBatch]:
-    rids, sets, sigs, size = [], [], [], 0
+    rids, sets, size = [], [], 0
     for rid, x in rows:
         rids.append(rid)
         sets.append(x)
-        sigs.append(int(mix(x).sum(dtype=np.uint64)))
-        size += len(x) + 64
-        if size >= PACKED:
-            yield from _packed(rids, sets, sigs, fragments, code)
-            rids, sets, sigs, size = [], [], [], 0
+        size += len(x) + 16
+        if size >= PACKED or len(rids) == PLACES:
+            yield _packed(rids, sets, fragments, code)
+            rids, sets, size = [], [], 0
     if rids:
-        yield from _packed(rids, sets, sigs, fragments, code)
+        yield _packed(rids, sets, fragments, code)
 
 
-def _fragment(part: pa.Table, code: np.dtype, once: bool) -> tuple[list[int], list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """The packed rows of a fragment: batches, and their rids, signatures, runs; and how many documents hold each code.
+def _unpacked(part: pa.Table, name: str, kind: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for c in part[name].chunks for x in c]
 
-    once: of documents with one signature the first counts only; the runs of the others become 0.
-    """
-    part = part.sort_by("batch")
-    batches = part["batch"].to_pylist()
-    unpack = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for c in part[name].chunks for x in c]
-    rids, sigs, runs, codes = unpack("rids", np.int64), unpack("sigs", np.uint64), unpack("runs", np.int32), unpack("codes", code)
-    every = np.concatenate(codes)
-    if once:
-        _, first = np.unique(np.concatenate(sigs), return_index=True)
-        use = np.zeros(sum(map(len, sigs)), bool)
-        use[first] = True
-        length = np.concatenate(runs)
-        every = every[np.repeat(use, length)]
-        length = np.where(use, length, 0)
-        runs = np.split(length, np.cumsum([len(r) for r in runs])[:-1])
-    order = np.argsort(every, kind="stable")
-    x = every[order]
-    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    count = np.empty(len(x), np.int32)
-    count[order] = np.repeat(np.diff(np.concatenate([edge, [len(x)]])), np.diff(np.concatenate([edge, [len(x)]])))
-    return batches, rids, sigs, runs, count
-
-
-def _alone(part: pa.Table) -> pa.Table:
-    """How many codes of each document no other text has: packed by batch."""
-    batches, rids, _, runs, count = _fragment(part, np.dtype(np.uint32), True)
-    at, alone = 0, []
-    for r in runs:
-        own = count[at : at + int(r.sum())]
-        at += len(own)
-        total = np.concatenate([[0], np.cumsum(own == 1)])
-        ends = np.cumsum(r)
-        alone.append((total[ends] - total[ends - r]).astype(np.int32))
-    first = part["fragment"][0].as_py() == 0
-    return pa.table({"batch": pa.array(batches, pa.int64()), "rids": pa.array([x.tobytes() if first else b"" for x in rids], pa.binary()), "runs": pa.array([x.astype(np.int32).tobytes() for x in runs], pa.binary()), "alone": pa.array([x.tobytes() for x in alone], pa.binary())})
-
-
-def _left(part: pa.Table, percent: int) -> pa.Table:
-    """The documents of a batch that share enough of their set to link."""
-    total = alone = 0
-    rids = b""
-    for r, n, a in zip(*(part[c].to_pylist() for c in ("rids", "runs", "alone"))):
-        rids = rids or r
-        total, alone = total + np.frombuffer(n, np.int32), alone + np.frombuffer(a, np.int32)
-    keep = (total > 0) & (100 * (total.astype(np.int64) - alone) >= percent * total.astype(np.int64))
-    return pa.table({"_rid": pa.array(np.frombuffer(rids, np.int64)[keep])})
-
-
-def _numbers(part: pa.Table) -> pa.Table:
-    """How many sets hold each shingle, packed by batch in the order of the hashes."""
-    batches, rids, _, runs, count = _fragment(part, np.dtype(np.uint64), False)
-    f, at, out = part["fragment"][0].as_py(), 0, []
-    for b, i, r in zip(batches, rids, runs):
-        n = int(r.sum())
-        out.append((f, b, i.tobytes(), r.tobytes(), count[at : at + n].tobytes()))
-        at += n
-    return pa.table({"fragment": pa.array([o[0] for o in out], pa.int32()), "batch": pa.array([o[1] for o in out], pa.int64()), **{c: pa.array([o[k] for o in out], pa.binary()) for k, c in ((2, "rids"), (3, "runs"), (4, "numbers"))}})
-
-
-def _prefixes(sets: pa.Table, numbers: pa.Table, percent: int) -> pa.Table:
-    """(h, cls, n) of a batch: each set's first shingles in the order (number of sets, hash), those of one set alone left out."""
-    if not len(sets) or not len(numbers):
-        return pa.table({"h": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    numbers = numbers.sort_by("fragment")
-    rids = np.frombuffer(numbers["rids"][0].as_py(), np.int64)
-    runs = [np.frombuffer(x, np.int32) for x in numbers["runs"].to_pylist()]
-    count = [np.frombuffer(x, np.int32) for x in numbers["numbers"].to_pylist()]
-    ends = [np.cumsum(r) for r in runs]
-    own = dict(zip(sets["_rid"].to_pylist(), sets["hashes"].to_pylist()))
-    h, cls, size = [], [], []
-    for i, rid in enumerate(rids.tolist()):
-        x = np.frombuffer(own[rid], np.uint64)
-        c = np.concatenate([n[e[i] - r[i] : e[i]] for n, e, r in zip(count, ends, runs)])
-        order = np.lexsort((x, c))[: len(x) - -(-percent * len(x) // 100) + 1]
-        x = x[order[c[order] > 1]]
-        h.append(x.view(np.int64))
-        cls.append(np.full(len(x), rid))
-        size.append(np.full(len(x), len(own[rid]) // 8))
-    return pa.table({"h": np.concatenate(h), "cls": np.concatenate(cls), "n": np.concatenate(size)})
+
+def _counts(codes: np.ndarray) -> np.ndarray:
+    """How often each code occurs, at all its places."""
+    order = np.argsort(codes, kind="stable")
+    x = codes[order]
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+    out = np.empty(len(x), np.int32)
+    out[order] = np.repeat(np.diff(edge), np.diff(edge))
+    return out
+
+
+def _shared(part: pa.Table, code: np.dtype, hashes: bool) -> pa.Table:
+    """By batch: of each document the number of codes that another has too; hashes: these codes themselves and their numbers of documents."""
+    docs, codes = _unpacked(part, "docs", np.uint16), _unpacked(part, "codes", code)
+    count = _counts(np.concatenate(codes))
+    at, out = 0, []
+    for batch, heads, d, c in zip(part["batch"].to_pylist(), part["heads"].to_pylist(), docs, codes):
+        own = count[at : at + len(d)]
+        at += len(d)
+        hit = own > 1
+        if not heads and not hit.any():
+            continue
+        if hashes:
+            out.append((batch, heads, d[hit].tobytes(), c[hit].tobytes(), own[hit].tobytes()))
+        else:
+            place, n = np.unique(d[hit], return_counts=True)
+            out.append((batch, heads, place.tobytes(), b"", n.astype(np.int32).tobytes()))
+    return pa.table([pa.array([o[k] for o in out], pa.binary() if k else pa.int64()) for k in range(5)], SHARED_NAMES)
+
+
+SHARED_NAMES = ["batch", "heads", "docs", "codes", "counts"]
+SHARED_SCHEMA = "batch bigint, heads binary, docs binary, codes binary, counts binary"
+
+
+def _known(part: pa.Table, percent: int) -> pa.Table:
+    """(_rid, n, one, two, left) of a batch's documents; left: they share enough of their set to link."""
+    heads = next(np.frombuffer(h, HEAD) for h in part["heads"].to_pylist() if h)
+    total = np.zeros(len(heads), np.int64)
+    for d, n in zip(_unpacked(part, "docs", np.uint16), _unpacked(part, "counts", np.int32)):
+        total[d] += n
+    left = (heads["n"] > 0) & (100 * total >= percent * heads["n"])
+    return pa.table({"_rid": heads["rid"], "n": heads["n"], "one": heads["one"], "two": heads["two"], "left": left})
+
+
+def _prefixes(part: pa.Table, percent: int) -> pa.Table:
+    """(h, cls, n) of a batch: each set's first shingles in the order (number of sets, hash). Those of one set alone come first and are left out."""
+    heads = next(np.frombuffer(h, HEAD) for h in part["heads"].to_pylist() if h)
+    doc, h, count = (np.concatenate(_unpacked(part, c, k)) for c, k in (("docs", np.uint16), ("codes", np.uint64), ("counts", np.int32)))
+    order = np.lexsort((h, count, doc))
+    doc, h = doc[order].astype(np.int64), h[order]
+    shared = np.bincount(doc, minlength=len(heads))
+    n = heads["n"]
+    take = np.maximum(n - -(-percent * n // 100) + 1 - (n - shared), 0)
+    rank = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(shared)])[doc]
+    doc, h = doc[rank < take[doc]], h[rank < take[doc]]
+    return pa.table({"h": h.view(np.int64), "cls": heads["rid"][doc], "n": n[doc]})
 
 
 def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -222,40 +212,42 @@ def _verified(pairs: DataFrame, segments: DataFrame, fragments: int, percent: in
 def linked(docs: DataFrame, id_col: str, text: str, *, width: int = WIDTH, percent: int = 80) -> DataFrame:
     """(_rid, id, n, comp, rep) of every document: its row number, set size, and component: the smallest id, and the row number of the row that has it.
 
-    Two documents link when 100 * |A and B| >= percent * |A or B|. `docs` is read more than once and
-    must give the same rows each time, as a table does.
+    Two documents link when 100 * |A and B| >= percent * |A or B|. Row numbers are those of `monotonically_increasing_id` over
+    `docs` if it is read from files.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    signed = rows.select("_rid", "_text").mapInArrow(lambda b: _signatures(b, width), "_rid bigint, n bigint, one bigint, two bigint")
-    known = written(signed, "signatures")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = steady(docs.select(id_col, text)).select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    # about 6 bytes a word; fragments need only be roughly even
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0] // 6
     fragments = max(1, -(-total // FRAGMENT))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packs(((rid, x) for b in batches for rid, x in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), width))), fragments, np.dtype(np.uint32))
 
     packed = rows.select("_rid", "_text").mapInArrow(coded, PACKED_SCHEMA)
-    counted = packed.groupBy("fragment").applyInArrow(_alone, "batch bigint, rids binary, runs binary, alone binary")
-    left = written(counted.groupBy("batch").applyInArrow(lambda t: _left(t, percent), "_rid bigint"), "sharing")
-    n_left = left.count()
+    counted = packed.groupBy("fragment").applyInArrow(lambda t: _shared(t, np.dtype(np.uint32), False), SHARED_SCHEMA)
+    known = written(counted.groupBy("batch").applyInArrow(lambda t: _known(t, percent), "_rid bigint, n bigint, one bigint, two bigint, left boolean"), "signatures")
+    # classes: documents with equal sets, by signature; their smallest row number stands for them
+    classes = known.where("left").groupBy("n", "one", "two").agg(F.min("_rid").alias("cls"), F.count("*").alias("k"))
+    classes = written(classes, "classes")
+    n_classes, n_several = classes.agg(F.count("*"), F.count_if(F.col("k") > 1)).first()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column(1), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["_rid", "hashes"])
+            sets = [x.tobytes() for x in shingle_sets(b.column(1), width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_rid", "hashes"])
 
-    sets = written(rows.select("_rid", "_text").join(small(left, 32 * n_left), "_rid").mapInArrow(hashed, "_rid bigint, hashes binary"), "sets")
+    left = classes.select(F.col("cls").alias("_rid"))
+    sets = written(rows.select("_rid", "_text").join(small(left, 32 * n_classes), "_rid").mapInArrow(hashed, "_rid bigint, hashes binary"), "sets")
     links = _links(sets, percent)
-    # classes: documents with equal sets, by signature; their smallest row number stands for them
-    classes = known.where("n > 0").groupBy("n", "one", "two").agg(F.min("_rid").alias("cls"))
-    of = known.join(classes, ["n", "one", "two"], "left").select("_rid", "n", F.coalesce("cls", "_rid").alias("cls"))
+    several = classes.where("k > 1").select("n", "one", "two", "cls")
+    of = known.join(small(several, 48 * n_several), ["n", "one", "two"], "left").select("_rid", "n", F.coalesce("cls", "_rid").alias("cls"))
     if links is not None:
         of = of.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("cls", F.coalesce("comp", "cls")).drop("comp")
-    ids = of.join(rows.select("_rid", "_id"), "_rid")
-    ids = written(ids, "members")
-    best = ids.groupBy("cls").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_rid")).alias("best"))
-    return ids.join(best, "cls").select("_rid", F.col("_id").alias("id"), "n", F.col("best._id").alias("comp"), F.col("best._rid").alias("rep"))
+    members = written(of.join(rows.select("_rid", "_id"), "_rid"), "members")
+    discard(known, classes, sets)
+    best = members.groupBy("cls").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_rid")).alias("best"))
+    return members.join(best, "cls").select("_rid", F.col("_id").alias("id"), "n", F.col("best._id").alias("comp"), F.col("best._rid").alias("rep"))
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame | None:
@@ -264,18 +256,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     if not shingles:
         return None
     fragments = max(1, -(-shingles // FRAGMENT))
-    sets = sets.withColumn("batch", F.spark_partition_id().cast("bigint"))
-    sets = written(sets, "sets-by-batch")
-
-    def whole(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_rid")
-        rids = part["_rid"].to_pylist()
-        rows = [r.set_column(1, "batch", pa.array([part["batch"][0].as_py()] * len(r), pa.int64())) for r in _packed(rids, [np.frombuffer(x, np.uint64) for x in part["hashes"].to_pylist()], [0] * len(rids), fragments, np.dtype(np.uint64))]
-        return pa.Table.from_batches(rows)
-
-    numbers = sets.groupBy("batch").applyInArrow(whole, PACKED_SCHEMA).groupBy("fragment").applyInArrow(_numbers, "fragment int, batch bigint, rids binary, runs binary, numbers binary")
-    index = sets.groupBy("batch").cogroup(numbers.groupBy("batch")).applyInArrow(lambda s, n: _prefixes(s, n, percent), "h bigint, cls bigint, n bigint")
-    index = written(index, "prefixes")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packs(((rid, np.frombuffer(x.as_buffer(), np.uint64)) for b in batches for rid, x in zip(b.column(0).to_pylist(), b.column(1))), fragments, np.dtype(np.uint64))
+
+    numbers = sets.mapInArrow(whole, PACKED_SCHEMA).groupBy("fragment").applyInArrow(lambda t: _shared(t, np.dtype(np.uint64), True), SHARED_SCHEMA)
+    index = written(numbers.groupBy("batch").applyInArrow(lambda t: _prefixes(t, percent), "h bigint, cls bigint, n bigint"), "prefixes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,7 +1,10 @@
 """Vectorised text primitives for Arrow batches: words, word hashes and shingles in numpy.
 
-All functions work on whole texts. A chunk is a run of rows with at most `CHUNK` bytes of text
-(one row at least), so that temporary arrays stay small whatever the batch holds.
+All functions work on whole texts. A chunk is a run of rows with at most `CHUNK` bytes of text (one row
+at least), so that temporary arrays stay small whatever the batch holds. Hashes of a longer row are taken in
+blocks, so it needs a few bytes for each of its own, not tens.
+
+Words and shingles are compared by 64-bit hashes; two different ones of n agree with probability n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The words as a pattern of java.util.regex, for expressions in the JVM.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
@@ -27,7 +31,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_powers: list[np.ndarray] = []
 
 
 def crc_mod(col: str, n: int) -> Column:
@@ -50,18 +54,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, `n` at least. Tables of a chunk are kept, larger ones aren't."""
 
-        def table(base: int) -> np.ndarray:
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            return np.multiply.accumulate(steps)
+    def table(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
 
-        _powers = table(_BASE), table(_INVERSE)
-    return _powers
+    if n > CHUNK + 1:
+        return table(_BASE, n), table(_INVERSE, n)
+    if not _powers:
+        _powers.extend((table(_BASE, CHUNK + 1), table(_INVERSE, CHUNK + 1)))
+    return _powers[0], _powers[1]
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,18 @@ def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def padded_chunks(col: pa.Array, before: str, after: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Like `chunks`, of the texts in lower case between `before` and `after`; only a chunk at a time is made."""
+    _, offsets = buffers(col)
+    col = col.fill_null("") if col.null_count else col
+    row = 0
+    while row < len(col):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        part = pc.utf8_lower(col.slice(row, end - row))
+        yield row, end, *buffers(pc.binary_join_element_wise(pa.scalar(before), part, pa.scalar(after), pa.scalar("")))
+        row = end
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the word offsets of the rows. No word crosses a row."""
     n = len(data)
@@ -105,10 +122,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _I
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    power, inverse = _grown(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        # a block of words, one at least
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        part = data[low : int(ends[j - 1])]
+        power, inverse = _tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -121,12 +148,33 @@ def rolled(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if width <= 8:
-        out = np.zeros(n, np.uint64)
-        for k in range(width):
-            out += words[k : k + n] * np.uint64(pow(_BASE, k + 1, 1 << 64))
-        return mix(out)
-    power, inverse = _grown(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power[: len(words)], out=total[1:])
-    return mix((total[width:] - total[:-width]) * inverse[:n])
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, CHUNK):
+        b = min(a + CHUNK, n)
+        if width <= 8:
+            own = np.zeros(b - a, np.uint64)
+            for k in range(width):
+                own += words[a + k : b + k] * np.uint64(pow(_BASE, k + 1, 1 << 64))
+        else:
+            part = words[a : b + width - 1]
+            power, inverse = _tables(len(part) + 1)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * power[: len(part)], out=total[1:])
+            own = (total[width:] - total[:-width]) * inverse[: b - a]
+        out[a:b] = mix(own)
+    return out
+
+
+def lowest(x: np.ndarray, k: int) -> np.ndarray:
+    """Where the smallest of each `k` neighbours stands, the leftmost of equal ones, by a minimum over ever wider spans."""
+    out = np.empty(max(len(x) - k + 1, 0), np.int64)
+    for a in range(0, len(out), CHUNK):
+        low = x[a : min(a + CHUNK, len(out)) + k - 1]
+        at, span = np.arange(len(low), dtype=np.int32), 1
+        while span < k:
+            step = min(span, k - span)
+            right = low[step:] < low[:-step]
+            low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
+            span += step
+        out[a : a + len(at)] = at.astype(np.int64) + a
+    return out
