@@ -1,11 +1,11 @@
 """Exact top-k by integer inner product, with a KD-tree in each shard.
 
 Components become floor(256 * x). Trees split at the median of the widest dimension down to leaves of
-`LEAF` rows; every node has the tight bounding box of its rows. A block of queries descends together:
-a (query, node) pair whose bound, the sum of max(q * low, q * high), lies below the query's kth score
-is dropped; the leaves that remain are visited best bound first, and the rising kth score stops the
-rest. Bounds equal to the kth score are visited, as ties go to smaller ids. The kth scores start from the other queries of the
-block (they are candidates too) and are carried from shard to shard within a task.
+`LEAF` rows; every node has the tight bounding box of its rows. Traversal is best first: each query keeps a frontier of
+nodes and their bounds, sum of max(q * low, q * high), takes the largest, opens it or scores its leaf, and stops when
+the largest lies below its kth score. The queries of a round take their steps together, so a leaf is scored for
+all that reach it at once. Bounds equal to the kth score are visited, as ties go to smaller ids. The kth scores start
+from the other queries of the round (they are candidates too) and are carried from shard to shard within a task.
 
 Sums stay exact: float64 below 2^53, Python integers beyond. See `vectors` for the defined cases;
 a result score that doesn't fit in 64 bits raises.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from keytide.llm.vectors import Best, query_blocks, searched, sharded, taking_part
+from keytide.llm.vectors import Best, searched, sharded, taking_part
 
 LEAF = 256
 
@@ -76,47 +76,36 @@ def _bounds(up: np.ndarray, down: np.ndarray, low: np.ndarray, high: np.ndarray)
     return b + slack * (up.shape[1] * 2.0**-51)
 
 
-def _seeded(ids: np.ndarray, x: np.ndarray, k: int = 5) -> tuple:
-    """The block: ids, quantised vectors, and as first kth scores those among the block's own rows."""
-    q = quantised(x)
+def _floor(q: np.ndarray, k: int) -> np.ndarray:
+    """For each query the kth score among the round's other queries."""
     floor = np.full(len(q), np.iinfo(np.int64).min)
     if len(q) > k:
-        for a in range(0, len(q), 512):
-            s = _products(q[a : a + 512], q)
+        for a in range(0, len(q), 256):
+            s = _products(q[a : a + 256], q)
             s[np.arange(len(s)), np.arange(a, a + len(s))] = np.iinfo(np.int64).min
-            floor[a : a + 512] = np.partition(s, len(q) - k, axis=1)[:, len(q) - k]
-    return ids, q, floor
-
-
-def search(block: tuple, tree: Tree, best: Best) -> None:
-    ids, q, floor = block
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    # descend level by level; pairs whose box can't reach the query's kth score are dropped
-    frontier, leaves = [(0, np.arange(len(q)))], []
-    while frontier:
-        deeper = []
-        for node, own in frontier:
-            bound = _bounds(up[own], down[own], tree.low[node : node + 1], tree.high[node : node + 1])[:, 0]
-            keep = bound >= np.maximum(best.score[own, -1], floor[own])
-            own = own[keep]
-            if len(own) and tree.children[node][0] < 0:
-                leaves.append((np.full(len(own), node), own, bound[keep]))
-            elif len(own):
-                deeper += [(int(c), own) for c in tree.children[node]]
-        frontier = deeper
-    if not leaves:
-        return
-    node, query, bound = (np.concatenate(c) for c in zip(*leaves))
-    # every query's leaves, best bound first; all queries go on to their next leaf together
-    order = np.lexsort((-bound, query))
-    node, query, bound = node[order], query[order], bound[order]
-    first = np.concatenate([[True], query[1:] != query[:-1]])
-    rank = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
-    for r in range(int(rank.max()) + 1):
-        at = np.flatnonzero(rank == r)
-        at = at[bound[at] >= np.maximum(best.score[query[at], -1], floor[query[at]])]
-        for leaf in np.unique(node[at]).tolist():
-            own = query[at[node[at] == leaf]]
+            floor[a : a + 256] = np.partition(s, len(q) - k, axis=1)[:, len(q) - k]
+    return floor
+
+
+def search(ids: np.ndarray, x: np.ndarray, tree: Tree, best: Best) -> None:
+    q = quantised(x)
+    if not hasattr(best, "floor"):
+        best.floor = _floor(q, best.k)
+    bounds = _bounds(np.maximum(q, 0), np.minimum(q, 0), tree.low, tree.high)
+    frontier = np.full(bounds.shape, -np.inf)
+    frontier[:, 0] = bounds[:, 0]
+    active = np.arange(len(q))
+    while len(active):
+        node = frontier[active].argmax(axis=1)
+        go = frontier[active, node] >= np.maximum(best.score[active, -1], best.floor[active])
+        active, node = active[go], node[go]
+        frontier[active, node] = -np.inf
+        inner = tree.children[node, 0] >= 0
+        for side in (0, 1):
+            child = tree.children[node[inner], side]
+            frontier[active[inner], child] = bounds[active[inner], child]
+        for leaf in np.unique(node[~inner]).tolist():
+            own = active[node == leaf]
             a, b = tree.span[leaf]
             s = _products(q[own], tree.x[a:b])
             s[ids[own][:, None] == tree.ids[a:b][None, :]] = np.iinfo(np.int64).min
@@ -127,4 +116,4 @@ def exact_topk(df: DataFrame, id_col: str, vector: str, queries: Column, *, k: i
     """(query_id, rank, vec_id, score): for each row that `queries` (a condition on `id`) holds for, the k other rows of largest score."""
     rows = taking_part(df, id_col, vector)
     shards = sharded(rows, build, "kd-trees")
-    return searched(shards, query_blocks(rows, queries), search, k, "bigint", lambda ids, x: _seeded(ids, x, k))
+    return searched(shards, rows.where(queries), search, k, "bigint")

@@ -1,13 +1,14 @@
-"""What the vector searches share: rows that take part, shards, and blocks of queries of a checked size.
+"""What the vector searches share: rows that take part, shards, and rounds of queries of a bounded size.
 
 A search is a stated set of queries against all rows. Rows are dealt to shards once (by id, so all
-rows of an id meet), each shard is built into a search structure by a task, written in the shared
-folder and used by every block of queries. A block has at most `BLOCK_BYTES` of vectors and is
-broadcast; there are as many blocks as the queries need. A task sends on its best k a query only.
+rows of an id meet), each shard is built into a search structure by a task and written in the shared
+folder. The queries are packed into rows of at most `ROUND_BYTES` of vectors, one for each round; a round's row is
+broadcast and joined to every shard of its dimension in Spark, so no query passes through the driver's Python, and
+the rounds go one after another, so one broadcast is alive at a time. A task sends on its best k a query only.
 
 Vectors that are null, empty or hold null or non-finite components take no part. Of rows with one id
 the first vector in order of its components takes part. Vectors of other lengths than a query's
-aren't its candidates.
+aren't its candidates. Ties go to smaller ids; other columns aren't read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.session import ship, written
+from keytide.session import discard, ship, written
 
 SHARD_ROWS = 16_384
 SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 8 << 20
-BLOCK_ROWS = 4_096
+ROUND_BYTES = 8 << 20
+ROUND_ROWS = 4_096
 
 
 def taking_part(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -63,19 +64,25 @@ def sharded(rows: DataFrame, build: Callable[[np.ndarray, np.ndarray], object],
     return written(dealt.groupBy("dim", "shard").applyInArrow(built, "dim int, n bigint, built binary"), name)
 
 
-def query_blocks(rows: DataFrame, chosen: Column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dim, ids, vectors) of blocks of the chosen rows, one row an id; each block is collected by itself."""
-    queries = rows.where(chosen).groupBy("id").agg(F.min(F.struct(F.size("x").alias("dim"), "x")).alias("v")).select("id", "v.dim", "v.x")
-    queries = written(queries, "queries")
-    for dim, n in sorted((r.dim, r["count"]) for r in queries.groupBy("dim").count().collect()):
-        per = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
-        blocks = -(-n // per)
-        own = queries.where(F.col("dim") == dim)
-        for b in range(blocks):
-            part = (own if blocks == 1 else own.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == b)).select("id", "x").toArrow()
-            ids, x = np.asarray(part["id"].combine_chunks(), np.int64), matrix(part["x"], dim)
-            order = np.argsort(ids)
-            yield dim, ids[order], x[order]
+def rounds(queries: DataFrame) -> DataFrame:
+    """(dim, round, ids, vectors): the queries packed, ids in order, one row an id; rounds count from 0 in each dim."""
+    one = queries.groupBy("id").agg(F.min(F.struct(F.size("x").alias("dim"), "x")).alias("v")).select("id", "v.dim", "v.x")
+    one = written(one, "queries")
+    number = one.groupBy("dim").agg(F.count("*").alias("n"))
+    per = F.greatest(F.lit(1), F.least(F.lit(ROUND_ROWS), F.floor(F.lit(ROUND_BYTES) / (8 * F.col("dim")))))
+    # a round is a class of ids, so it may have a few more queries than `per`
+    number = F.broadcast(number.select("dim", F.ceil(F.col("n") / per).alias("rounds")))
+    dealt = one.join(number, "dim").select("dim", F.pmod(F.xxhash64("id", F.lit("round")), F.col("rounds")).alias("round"), "id", "x")
+
+    def packed(part: pa.Table) -> pa.Table:
+        dim = part["dim"][0].as_py()
+        ids, x = np.asarray(part["id"], np.int64), matrix(part["x"], dim)
+        order = np.argsort(ids)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "round": part["round"][:1].cast(pa.int64()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([x[order].tobytes()], pa.binary())})
+
+    out = written(dealt.groupBy("dim", "round").applyInArrow(packed, "dim int, round bigint, ids binary, vectors binary"), "rounds")
+    discard(one)
+    return out
 
 
 class Best:
@@ -112,32 +119,36 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(self.id[q, j]), pa.array(self.score[q, j])], ["query_id", "vec_id", "score"])
 
 
-def searched(shards: DataFrame, blocks: Iterator[tuple], search: Callable, k: int, kind: str, prepare: Callable | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all shards. `search(shared, built, best)` offers a shard's candidates.
+def searched(shards: DataFrame, queries: DataFrame, search: Callable, k: int, kind: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all shards. `search(ids, vectors, built, best)` offers a shard's candidates.
 
     A task carries its kth scores from shard to shard.
     """
-    spark = shards.sparkSession
     dtype = np.int64 if kind == "bigint" else np.float64
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}  # by dimension; a round has one block of each
+        for batch in batches:
+            for dim, built, ids, x in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3))):
+                if dim not in best:
+                    own = np.frombuffer(ids.as_buffer(), np.int64).copy()
+                    best[dim] = own, np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim).copy(), Best(len(own), k, dtype)
+                own, q, kth = best[dim]
+                search(own, q, pickle.loads(built.as_buffer()), kth)
+        for own, _, kth in best.values():
+            yield kth.rows(own)
+
+    schema = f"query_id bigint, vec_id bigint, score {kind}"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = rounds(queries)
+    last = asked.agg(F.max("round")).first()[0] or 0
     parts = []
-    for dim, ids, x in blocks:
-        shared = spark.sparkContext.broadcast(prepare(ids, x) if prepare else (ids, x))
-
-        def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = None
-            for batch in batches:
-                for built in batch.column(0):
-                    if best is None:
-                        best = Best(len(shared.value[0]), k, dtype)
-                    search(shared.value, pickle.loads(built.as_py()), best)
-            if best is not None:
-                yield best.rows(shared.value[0])
-
-        parts.append(shards.where(F.col("dim") == dim).select("built").mapInArrow(found, f"query_id bigint, vec_id bigint, score {kind}"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id bigint, rank int, vec_id bigint, score {kind}")
+    for r in range(last + 1):
+        pairs = shards.join(F.broadcast(asked.where(F.col("round") == r)), "dim").select("dim", "built", "ids", "vectors")
+        part = pairs.mapInArrow(found, schema)
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        parts.append(written(part, "nearest") if last else part)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out

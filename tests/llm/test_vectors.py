@@ -58,3 +58,47 @@ def test_neighbours_have_recall_and_exact_scores(vectors):
     assert hit >= 0.9 * total
     assert [(r.vec_id) for r in nearest(df, "vec_id", "embedding", F.col("id") == 1000).collect()] == [1001]
     assert nearest(df.where("false"), "vec_id", "embedding", F.col("id") == 1).count() == 0
+
+
+def test_many_rounds_and_shards_find_the_same(vectors, monkeypatch):
+    from keytide.llm import vectors as v
+
+    df, _ = vectors
+    every = F.col("id") % 10 == 0
+    want = {tuple(r) for r in exact_topk(df, "vec_id", "embedding", every).collect()}
+    monkeypatch.setattr(v, "SHARD_ROWS", 150)
+    monkeypatch.setattr(v, "ROUND_ROWS", 20)
+    assert {tuple(r) for r in exact_topk(df, "vec_id", "embedding", every).collect()} == want
+    found = nearest(df, "vec_id", "embedding", every).collect()
+    assert {(r.query_id, r["rank"]) for r in found if r.query_id < 700} == {(i, k) for i in range(0, 700, 10) for k in range(1, 6)}
+
+
+def test_probes_come_likeliest_first():
+    from keytide.llm.ann import perturbations
+
+    sets = perturbations(6, 200)
+    assert not sets[0].any() and sets[1].tolist() == [1] + [0] * 11 and len({tuple(x) for x in sets.tolist()}) == len(sets)
+    assert all(not (x[j] and x[11 - j]) for x in sets for j in range(6))
+
+
+@pytest.mark.parametrize("spread, most", [(0.05, 0.05), (0.35, 0.35)])
+def test_near_neighbours_are_found_in_few_rows(monkeypatch, spread, most):
+    """Recall against brute force on 16,000 rows around 400 centres, and the share of rows that is ranked."""
+    from keytide.llm import ann
+    from keytide.llm.vectors import Best
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 16_000)] + spread * rng.normal(size=(16_000, 64))
+    shape = dict(tables=16, hashes=12, width=2.5)
+    index, ids, n, ranked = ann.build(np.arange(len(x)), x, **shape), np.arange(200), 200, []
+    seen = ann._visited
+    monkeypatch.setattr(ann, "_visited", lambda *a: ranked.append(seen(*a)) or ranked[-1])
+    best = Best(n, 5)
+    ann.search(ids, x[:n], index, best, **shape, sets=200, reach=1.0)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    c = u[:n] @ u.T
+    c[ids, ids] = -2
+    top = np.argsort(-c, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(top.tolist(), best.id.tolist())]) >= 0.95
+    assert sum(r.sum() for r in ranked) <= most * n * len(x)
