@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.session import ship, small, written
+from keytide.session import discard, ship, small, steady, written
 
 MIN_CHARS = 20
 #: Each round but the first tries so many times as many holders of a window as the one before.
@@ -189,11 +189,9 @@ def _covered(found: DataFrame, per: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str, text: str, *, keep: list[str] | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The columns `keep` of `docs` (all by default) with _text (what is left), _n_lines and _n_removed.
-
-    `docs` is read more than once and must give the same rows each time, as a table does.
-    """
+    """The columns `keep` of `docs` (all by default) with _text (what is left), _n_lines and _n_removed."""
     ship(docs.sparkSession)
+    docs = steady(docs)
     kept = docs.columns if keep is None else keep
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("_id"), F.col(text).alias("_in"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
     lines = rows.select("_rid", "_id", F.posexplode(F.split("_in", "\n")).alias("p", "line")).select("_rid", "_id", "p", F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")).alias("line"))
@@ -205,15 +203,18 @@ def dedup_lines(docs: DataFrame, id_col: str, text: str, *, keep: list[str] | No
     per = found.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("n"), "h", "c"))).alias("lines"))
     per = written(per, "shared-per-document")
     gone = written(_covered(found, per, min_chars).groupBy("_rid").agg(F.sort_array(F.collect_set("p")).alias("gone")), "gone-lines")
+    discard(found, per)
     n, m = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    split = F.split("_in", "\n")
-    number = F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"), (F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "").alias("blank")))
-    drop = lambda i: F.array_contains(F.col("gone"), i)
-    left = F.filter(number, lambda y: ~(drop(y["i"]) | (y["blank"] & drop(y["i"] - 1))))
-    out = rows.join(small(gone, 64 * n + 4 * m), "_rid", "left")
+    out = rows.join(small(gone, 64 * n + 4 * m), "_rid", "left").withColumn("_lines", F.split("_in", "\n"))
+    # a blank line goes with the line before it; blank lines aren't in `gone` themselves, so the order stays
+    blank = lambda i: F.coalesce(F.trim(F.translate(F.get("_lines", i), "\t\r\x0b\x0c", "    ")) == "", F.lit(False))
+    out = out.withColumn("_gone", F.flatten(F.transform("gone", lambda i: F.when(blank(i + 1), F.array(i, i + 1)).otherwise(F.array(i)))))
+    # what stands between two lines that go stays
+    before, after = F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size("_lines")))
+    left = F.flatten(F.zip_with(before, after, lambda x, y: F.slice("_lines", x + 2, y - x - 1)))
     return out.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)],
-        F.when(F.col("gone").isNull(), F.col("_in")).otherwise(F.array_join(F.transform(left, lambda y: y["x"]), "\n")).alias("_text"),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("_n_lines"),
+        F.when(F.col("gone").isNull(), F.col("_in")).otherwise(F.array_join(left, "\n")).alias("_text"),
+        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"),
     )

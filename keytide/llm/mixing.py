@@ -10,7 +10,7 @@ Each Newton step is kept inside a bracket of the root, so it can't diverge.
 Rates become whole copies by systematic rounding: in a fixed order within a source, a document takes
 floor(C) - floor(C - rate) copies, C being a half and the running sum of rates. The running sum is
 taken over buckets of one source with at most about `BUCKET` rows each (by size class and hash), and
-then within a bucket: no task sees a whole source. Rates are quantised to 2^-40, so sums are exact
+then within a bucket: no task sees a whole source, nor all copies of one row. Rates are quantised to 2^-40, so sums are exact
 and reruns agree.
 
 Targets: sources by code point, null last, weigh as `weights` repeating, and share all tokens;
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keytide.llm.text import count_words
-from keytide.session import pin_splits, small, written
+from keytide.session import small, steady, written
 
 BUCKET = 4096
 #: Rates are integers of 1 / SCALE.
@@ -112,11 +112,8 @@ def _few(df: DataFrame, most: int = FEW) -> bool:
 
 
 def mix(docs: DataFrame, id_col: str, text: str, source: str, *, keep: list[str] | None = None, weights: tuple[float, ...] = (1, 2, 3), max_copies: int = 3) -> DataFrame:
-    """The columns `keep` of `docs` (all by default) and _size, _source_size, _target, _rate, _copies: how often the mix takes each row.
-
-    `docs` is read more than once for columns beside id and source, and must give the same rows each time, as a table does.
-    """
-    pin_splits(docs.sparkSession)
+    """The columns `keep` of `docs` (all by default) and _size, _source_size, _target, _rate, _copies: how often the mix takes each row."""
+    docs = steady(docs)
     m = max_copies
     kept = docs.columns if keep is None else keep
     # one pass over the texts leaves a narrow table; whole rows come back only if they are asked for
@@ -131,7 +128,11 @@ def mix(docs: DataFrame, id_col: str, text: str, source: str, *, keep: list[str]
     rows = rows.join(F.broadcast(plan) if _few(plan) else plan, rows["_source"].eqNullSafe(plan["_of"]) & (rows["_class"] == plan["_ofc"]))
     full = F.col("target") >= m * F.col("source_size")
     rate = F.when(F.col("_size") == 0, 0.0).when(full, float(m)).otherwise(_tilt(F.col("lambda") * F.col("_size") / F.col("unit"), m))
-    rows = rows.withColumn("_q", F.round(rate * SCALE).cast("long")).withColumn("_slot", F.pmod("_hash", F.col("_slots")))
+    rows = rows.withColumn("_q", F.round(rate * SCALE).cast("long"))
+    # equal rows have one hash: where they would overfill a bucket, their row numbers deal them out
+    many = written(rows.groupBy(F.col("_hash").alias("_of_hash")).agg(F.count("*").alias("k")).where(F.col("k") > BUCKET).select("_of_hash"), "mix-copies-of-one-row")
+    rows = rows.join(F.broadcast(many) if _few(many) else many, rows["_hash"] == many["_of_hash"], "left")
+    rows = rows.withColumn("_slot", F.pmod(F.when(F.col("_of_hash").isNotNull(), F.xxhash64("_rid")).otherwise(F.col("_hash")), F.col("_slots"))).drop("_of_hash")
     # what the buckets before a bucket take, modulo a copy
     bucket = ["_source", "_class", "_slot"]
     before = Window.partitionBy("_source").orderBy(F.desc("_class"), "_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,39 +57,70 @@ def test_substring_dedup_equals_all_windows(docs, none, rows):
     assert substring_dedup.dedup_substrings(none, "doc_id", "text").count() == 0
 
 
-def test_automaton_counts_weighted_occurrences():
+def repeated(texts: list[tuple[list, int]], asked: list[list], width: int) -> list[list[int]]:
+    """The starts of the windows of `asked` that occur at least twice in the weighted texts, by an automaton."""
+    vocabulary = np.unique(np.array([w for t, _ in texts for w in t], np.uint64))
     a = substring_dedup.Automaton()
-    a.add(list("abcabx"), 1)
-    a.add(list("zabz"), 1)
-    a.add(list("qqq"), 2)
+    for t, n in texts:
+        a.add(np.searchsorted(vocabulary, np.array(t, np.uint64)).tolist(), n)
     a.close()
-    assert a.repeated(list("abcabx"), 2) == [0, 3] and a.repeated(list("zabz"), 2) == [1] and a.repeated(list("qqq"), 3) == [0] and a.repeated(list("abc"), 3) == []
+    at = np.cumsum([0, *map(len, asked)])
+    ends = a.compact(vocabulary).repeated(np.array([w for t in asked for w in t], np.uint64), at, width)
+    return [[i - width + 1 for i in np.flatnonzero(ends[x:y]).tolist()] for x, y in zip(at, at[1:])]
+
+
+def test_automata_count_weighted_occurrences():
+    spelled = lambda s: [ord(c) for c in s]
+    texts = [(spelled("abcabx"), 1), (spelled("zabz"), 1), (spelled("qqq"), 2)]
+    assert repeated(texts, [spelled(s) for s in ("abcabx", "zabz")], 2) == [[0, 3], [1]]
+    assert repeated(texts, [spelled(s) for s in ("qqq", "abc", "~ab", "")], 3) == [[0], [], [], []]
     rng = np.random.default_rng(0)
-    texts = [(rng.integers(0, 3, 30).tolist(), int(rng.integers(1, 3))) for _ in range(6)]
-    b = substring_dedup.Automaton()
-    for t, n in texts:
-        b.add(t, n)
-    b.close()
-    for k in (1, 4, 7):
-        count = Counter()
-        for t, n in texts:
-            for i in range(len(t) - k + 1):
-                count[tuple(t[i : i + k])] += n
-        for t, _ in texts:
-            assert b.repeated(t, k) == [i for i in range(len(t) - k + 1) if count[tuple(t[i : i + k])] > 1]
+    for letters in (3, 4, 5):
+        texts = [(rng.integers(0, letters, 30).tolist(), int(rng.integers(1, 3))) for _ in range(6)]
+        asked = [*(t for t, _ in texts), *(rng.integers(0, 9, 25).tolist() for _ in range(4))]
+        for k in (1, 4, 7):
+            count = Counter()
+            for t, n in texts:
+                for i in range(len(t) - k + 1):
+                    count[tuple(t[i : i + k])] += n
+            assert repeated(texts, asked, k) == [[i for i in range(len(t) - k + 1) if count[tuple(t[i : i + k])] > 1] for t in asked]
+
+
+def windows_removed(texts: list[str | None]) -> list[tuple[int, int, str]]:
+    """By brute force: words, removed words and what is kept."""
+    split = [words(t) for t in texts]
+    count = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    out = []
+    for w in split:
+        gone = {p for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def test_substring_dedup_of_one_minimiser_in_many_contexts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    common = prose(rng, 14)
+    texts = [f"{prose(rng, rng.randint(20, 30))} {common} {prose(rng, rng.randint(20, 30))}" for _ in range(60)]
+    texts += [" ".join(t.split()[3:]) for t in texts[::4]] + ["same " * 90, prose(rng, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = windows_removed(texts)
+    for hot, levels, words_ in ((5, 2, 60_000), (5, 0, 300)):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(substring_dedup, "LEVELS", levels)
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words_)
+        found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(df, "doc_id", "text").collect()}
+        assert [found[i] for i in range(len(texts))] == want
 
 
 def test_line_dedup_equals_the_pairwise_definition(docs, none, rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     lines = {i: [(p, x.strip()) for p, x in enumerate((rows[i][1] or "").split("\n")) if x.strip()] if rows[i][1] is not None else [] for i in order}
-    owner: dict[str, int] = {}
-    for i in order:
-        for _, x in lines[i]:
-            owner.setdefault(x, i)
     want = Counter()
-    for i in order:
+    for n, i in enumerate(order):
         gone: set[int] = set()
-        for j in {owner[x] for _, x in lines[i] if len(x) >= 20} - {i}:
+        for j in order[:n]:
             tagged = [[(p, x, len(x)) for p, x in lines[k]] for k in (j, i)]
             gone |= set(line_dedup.common_blocks(*tagged, 20))
         text = rows[i][1]
@@ -221,6 +252,17 @@ def test_mixing_meets_targets_and_newton_the_dual(docs, none, rows, spark):
     assert Counter((r.doc_id, r._copies) for r in again) == Counter((r.doc_id, r._copies) for r in found)
 
 
+def test_mixing_deals_out_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    data = [(1, "one two three", "a")] * 600 + [(i, f"w{i} x y", "b") for i in range(2, 300)] + [(None, None, None), (None, "", None)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    found = mixing.mix(df, "doc_id", "text", "source").collect()
+    assert len(found) == len(data) and all(0 <= r._copies <= 3 for r in found)
+    for s in "ab":
+        own = [r for r in found if r.source == s]
+        assert abs(sum(r._copies * r._size for r in own) - own[0]._target) <= 3 and all(abs(r._copies - r._rate) <= 1 for r in own)
+
+
 def test_language_id(spark, none):
     import random
 
