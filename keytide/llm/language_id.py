@@ -1,14 +1,15 @@
 """Language identification: nearest centroid by cosine over normalised TF-IDF trigram vectors.
 
-Fit: a bounded sample (`per_label` texts of each of at most `max_labels` languages) gives the inverse
-document frequencies and, per language, `clusters` centroids by spherical k-means. Only sparse
-vectors of at most `2^bits` entries reach the driver. Prediction: one pass over whole texts; the
+Fit: a bounded sample (`per_label` texts of each language, `max_rows` in all, so fewer of each where languages are
+very many; none is left out) gives the inverse document frequencies and, per language, `clusters` centroids by spherical
+k-means. Only sparse vectors of at most `2^bits` entries of 4 bytes reach the driver. Prediction: one pass over whole texts; the
 label of the centroid with the largest cosine. A text farther from it than the centroid's radius
 (a quantile of its members' distances) is marked `rejected`.
 
 Defined cases: null texts and texts without a letter give `und`, score 0, rejected. Null labels
 and null ids are never learned from. Without anything to learn every text is `und`. Repeated rows
-are answered row by row; ties between centroids go to the label that sorts first.
+are answered row by row; ties between centroids go to the label that sorts first; other columns aren't read; very long
+texts are counted in blocks.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.sampling import bounded
-from keytide.llm.text import chunks
+from keytide.llm.text import CHUNK, padded_chunks
 from keytide.session import ship
 
 BITS = 13
@@ -47,14 +47,15 @@ class Model:
 
 def term_counts(col: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end row, counts) with a row of hashed trigram counts for each text."""
-    col = col.fill_null("") if col.null_count else col
-    padded = pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(col), pa.scalar("  "), pa.scalar(""))
-    for row, end, data, offsets in chunks(padded):
-        kind = _CLASS[data].astype(np.uint32)
-        code = (kind[:-2] << np.uint32(16)) | (kind[1:-1] << np.uint32(8)) | kind[2:]
-        code *= np.uint32(0x9E3779B1)
-        code >>= np.uint32(32 - bits)
-        use = kind[1:-1] != 32
+    for row, end, data, offsets in padded_chunks(col, " ", "  "):
+        if end - row == 1:  # maybe a very long text
+            total = np.zeros(1 << bits, np.int64)
+            for a in range(0, len(data) - 2, CHUNK):
+                code, use = _codes(data[a : a + CHUNK + 2], bits)
+                total += np.bincount(code[use], minlength=1 << bits)
+            yield row, end, total.astype(np.float32)[None, :]
+            continue
+        code, use = _codes(data, bits)
         for a in range(0, end - row, ROWS):
             b = min(a + ROWS, end - row)
             lo, hi = offsets[a], max(offsets[a], offsets[b] - 2)
@@ -65,6 +66,15 @@ def term_counts(col: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.
             yield row + a, row + b, n.reshape(b - a, -1).astype(np.float32)
 
 
+def _codes(data: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed trigram at each byte but the last two, and whether its middle is a letter."""
+    kind = _CLASS[data].astype(np.uint32)
+    code = (kind[:-2] << np.uint32(16)) | (kind[1:-1] << np.uint32(8)) | kind[2:]
+    code *= np.uint32(0x9E3779B1)
+    code >>= np.uint32(32 - bits)
+    return code, kind[1:-1] != 32
+
+
 def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means from a farthest-first start; unit centroids and each row's cluster."""
     picks = [0]
@@ -82,7 +92,7 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
     return c, np.argmax(x @ c.T, axis=1)
 
 
-def fit(df: DataFrame, id_col: str, text: str, label: str, *, per_label: int = 1000, max_labels: int = 64, clusters: int = 4, quantile: float = 0.995, bits: int = BITS) -> Model:
+def fit(df: DataFrame, id_col: str, text: str, label: str, *, per_label: int = 1000, max_rows: int = 8000, clusters: int = 4, quantile: float = 0.995, bits: int = BITS) -> Model:
     """Learns from the rows of `df` with a label; the caller chooses which rows those are."""
     ship(df.sparkSession)
 
@@ -91,9 +101,9 @@ def fit(df: DataFrame, id_col: str, text: str, label: str, *, per_label: int = 1
             for row, end, n in term_counts(batch.column(2), bits):
                 index = [np.flatnonzero(x) for x in n]
                 part = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype(np.uint16).tobytes() for i in index], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(n, index)], pa.binary())], ["label", "draw", "at", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([i.astype(np.uint16).tobytes() for i in index], pa.binary()), pa.array([np.minimum(x[i], 65_535).astype(np.uint16).tobytes() for x, i in zip(n, index)], pa.binary())], ["label", "draw", "at", "n"])
 
-    rows = bounded(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).where(F.col("text").rlike("\\p{L}")), "label", "id", per_label, max_labels)
+    rows, per_label = bounded(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label")).where(F.col("text").rlike("\\p{L}")), "label", "id", per_label, max_rows)
     found = rows.select("label", "_draw", "text").mapInArrow(sparse, "label string, draw bigint, at binary, n binary").collect()
     by: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r.label, r.draw, bytes(r.at))):
@@ -111,7 +121,7 @@ def fit(df: DataFrame, id_col: str, text: str, label: str, *, per_label: int = 1
         x = np.zeros((len(by[name]), size), np.float32)
         for i, r in enumerate(by[name]):
             at = np.frombuffer(r.at, np.uint16)
-            x[i, at] = np.log1p(np.frombuffer(r.n, np.float32)) * idf[at]
+            x[i, at] = np.log1p(np.frombuffer(r.n, np.uint16).astype(np.float32)) * idf[at]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         c, own = _clustered(x, clusters)
         far = 1 - np.einsum("ij,ij->i", x, c[own])

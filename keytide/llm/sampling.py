@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keytide.session import small, written
+
 _RANGE = 1 << 40
 
 
@@ -13,14 +15,17 @@ def draw(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(_RANGE))
 
 
-def bounded(df: DataFrame, label: str, key: str, per_label: int, max_labels: int) -> DataFrame:
-    """About `per_label` rows of each of the `max_labels` most frequent labels, the same on every run.
+def bounded(df: DataFrame, label: str, key: str, per_label: int, rows: int) -> tuple[DataFrame, int]:
+    """About `per_label` rows of each label, and `rows` in all: whichever is fewer; the same on every run.
 
-    The rows of a label are those with the smallest draws: a share per_label / count of the range,
-    and a tenth more. Callers cut to the bound exactly, by the column `_draw`.
+    The rows of a label are those with the smallest draws: a share bound / count of the range, and a
+    tenth more. Callers cut to the bound, which is returned, exactly, by the column `_draw`. Every label is
+    represented, however many there are.
     """
-    counts = df.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    if not counts:
-        return df.where("false").withColumn("_draw", draw(F.col(key)))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(int(min(1.0, 1.1 * per_label / r["count"]) * _RANGE)))])
-    return df.withColumn("_draw", draw(F.col(key))).where(F.col("_draw") < F.coalesce(share[F.col(label)], F.lit(0)))
+    known = df.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    counts = written(known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")), "labels")
+    n, size = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_label").cast("string")) + 40), F.lit(0))).first()
+    bound = max(1, min(per_label, rows // max(n, 1)))
+    share = (F.least(F.lit(1.0), F.lit(1.1 * bound) / F.col("_n")) * _RANGE).cast("long")
+    out = known.withColumn("_draw", draw(F.col(key))).join(small(counts, size), F.col(label) == F.col("_label"))
+    return out.where(F.col("_draw") < share).drop("_label", "_n"), bound

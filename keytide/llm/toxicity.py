@@ -25,12 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.sampling import bounded
-from keytide.llm.text import chunks, mix, word_hashes, word_spans
+from keytide.llm.text import CHUNK, mix, padded_chunks, word_hashes, word_spans
 from keytide.session import ship
 
 BITS = 18
@@ -57,11 +56,6 @@ class Model:
     usual: float = 1.0
 
 
-def _padded(col: pa.Array) -> pa.Array:
-    col = col.fill_null("") if col.null_count else col
-    return pc.binary_join_element_wise(pa.scalar(" "), pc.utf8_lower(col), pa.scalar(" "), pa.scalar(""))
-
-
 def _grams(data: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n, the bucket of the n-gram that starts at each byte, and whether it lies in one word with its edges."""
     sep = _SEP[data]
@@ -82,14 +76,24 @@ def _grams(data: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def _word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
     """The average of v over the n-grams of each word."""
-    total, number = np.zeros(len(data) + 1, np.float64), np.zeros(len(data) + 1, np.int32)
-    value, count = np.zeros(len(data), np.float32), np.zeros(len(data), np.int8)
-    for bucket, use in _grams(data, bits):
-        value[: len(use)] += np.where(use, v[bucket], np.float32(0))
-        count[: len(use)] += use
-    np.cumsum(value, dtype=np.float64, out=total[1:])
-    np.cumsum(count, dtype=np.int32, out=number[1:])
-    return (total[ends] - total[starts - 1]) / np.maximum(number[ends] - number[starts - 1], 1)
+    out = np.empty(len(starts))
+    i = 0
+    while i < len(starts):
+        # a block of words with the separators around them
+        low = int(starts[i]) - 1
+        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        part = data[low : int(ends[j - 1]) + 1]
+        total, number = np.zeros(len(part) + 1, np.float64), np.zeros(len(part) + 1, np.int32)
+        value, count = np.zeros(len(part), np.float32), np.zeros(len(part), np.int8)
+        for bucket, use in _grams(part, bits):
+            value[: len(use)] += np.where(use, v[bucket], np.float32(0))
+            count[: len(use)] += use
+        np.cumsum(value, dtype=np.float64, out=total[1:])
+        np.cumsum(count, dtype=np.int32, out=number[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = (total[b] - total[a - 1]) / np.maximum(number[b] - number[a - 1], 1)
+        i = j
+    return out
 
 
 def _windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +114,10 @@ def _segmented(ufunc: np.ufunc, x: np.ndarray, offsets: np.ndarray, empty: float
 
 
 def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, seed: int) -> Model:
+    """The model of the texts, which are emptied as soon as they are read."""
     words: list[np.ndarray] = []
     offsets, spelled = [0], {}
-    for row, end, data, at in chunks(_padded(pa.array(texts, pa.string()))):
+    for row, end, data, at in padded_chunks(pa.array(texts, pa.string()), " ", " "):
         s, e, w = word_spans(data, at, _SEP)
         h = word_hashes(data, s, e)
         words.append(h)
@@ -120,6 +125,7 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         new, first = np.unique(h, return_index=True)
         spelled.update((k, bytes(data[s[i] : e[i]])) for k, i in zip(new.tolist(), first.tolist()) if k not in spelled)
     keys, token = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+    texts.clear()
     del words
     data = np.frombuffer(b" " + b" ".join(spelled[k] for k in keys.tolist()) + b" ", np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]), _SEP)
@@ -132,13 +138,14 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         per += np.bincount(grams[-1][0], minlength=len(keys))
     del data, bucket, use, i
     start, length, rows = _windows(np.array(offsets))
-    window_of, token = np.divmod(np.unique(np.repeat(np.arange(len(start)), length) * max(len(keys), 1) + token), max(len(keys), 1))
+    token = np.unique(np.repeat(np.arange(len(start)), length) * max(len(keys), 1) + token)
+    window_of, token = ((token // max(len(keys), 1)).astype(np.int32), (token % max(len(keys), 1)).astype(np.int32))
     divide = np.maximum(length, LEAST)
-    row_of = np.repeat(np.arange(len(texts)), np.diff(rows))
+    row_of = np.repeat(np.arange(len(y)), np.diff(rows))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     rng = np.random.default_rng(seed)
-    emb, soft, bias = rng.normal(0, 0.01, (1 << bits, dim)), rng.normal(0, 0.3, (dim, 2)), np.array([1.5, -1.5])
-    moments = [[np.zeros_like(p)] for p in (emb, soft, bias)]
+    emb, soft, bias = rng.normal(0, 0.01, (1 << bits, dim)).astype(np.float32), rng.normal(0, 0.3, (dim, 2)), np.array([1.5, -1.5])
+    moments = [np.zeros_like(p) for p in (emb, soft, bias)]
     for t in range(1, rounds + 1):
         v = emb @ (soft[:, 1] - soft[:, 0])
         word = sum(np.bincount(w, weights=v[b], minlength=len(keys)) for w, b in grams) / per
@@ -150,16 +157,17 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
             hit = np.flatnonzero(window == top[row_of])
             share = np.zeros(len(start))
             share[hit[np.concatenate([[True], np.diff(row_of[hit]) > 0])]] = 1.0
-        z = np.bincount(row_of, weights=window * share, minlength=len(texts)) + bias[1] - bias[0]
+        z = np.bincount(row_of, weights=window * share, minlength=len(y)) + bias[1] - bias[0]
         delta = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g_window = delta[row_of] * share / divide
         g_word = np.bincount(token, weights=g_window[window_of], minlength=len(keys)) / per
         g = sum(np.bincount(b, weights=g_word[w], minlength=1 << bits) for w, b in grams)
         down = g @ emb
-        grads = (np.outer(g, soft[:, 1] - soft[:, 0]) + 1e-7 * emb, np.stack([-down, down], 1), np.array([-delta.sum(), delta.sum()]))
+        grads = (np.outer(g.astype(np.float32), (soft[:, 1] - soft[:, 0]).astype(np.float32)) + np.float32(1e-7) * emb, np.stack([-down, down], 1), np.array([-delta.sum(), delta.sum()]))
         for k, (p, grad, m) in enumerate(zip((emb, soft, bias), grads, moments)):
-            m[0] = 0.9 * m[0] + grad
-            p -= STEPS[k] * m[0]
+            m *= 0.9
+            m += grad
+            p -= (STEPS[k] * m).astype(p.dtype)
     v = emb @ (soft[:, 1] - soft[:, 0])
     word = sum(np.bincount(w, weights=v[b], minlength=len(keys)) for w, b in grams) / per
     window = np.bincount(window_of, weights=word[token], minlength=len(start)) / divide
@@ -197,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     """Learns `label` (1: toxic) of `labels` from the texts of `docs` with the same id."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
-    chosen = sorted(bounded(known, "y", "id", per_class, 2).collect(), key=lambda r: (r.y, r._draw, r.id))
+    chosen = sorted(bounded(known, "y", "id", per_class, 2 * per_class)[0].collect(), key=lambda r: (r.y, r._draw, r.id))
     by = {k: [r for r in chosen if r.y == k][:per_class] for k in (0, 1)}
     texts = []
     if by[0] or by[1]:
@@ -219,20 +227,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << bits, np.float32), float(np.clip(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9)), -20, 20)), bits)
-    return _train([t[2] for t in texts], y, bits, dim, rounds, seed)
+    texts = [t[2] for t in texts]
+    return _train(texts, y, bits, dim, rounds, seed)
 
 
 def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[str] | None = None) -> DataFrame:
-    """(id, score) of every row of `docs`; 0 to 1, higher: likelier toxic. keep: other columns to return instead of the id."""
+    """(id, score) of every row of `docs`; 0 to 1, higher: likelier toxic. keep: other columns to return instead of the id.
+
+    Only the text goes to Python, once, and only the score comes back.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [id_col] if keep is None else keep
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            z = np.zeros(len(batch))
-            for row, end, data, at in chunks(_padded(batch.column(0))):
+        for col in texts:
+            z = np.zeros(len(col))
+            for row, end, data, at in padded_chunks(col, " ", " "):
                 s, e, w = word_spans(data, at, _SEP)
                 word = _word_scores(data, s, e, m.v, m.bits)
                 start, length, rows = _windows(w)
@@ -240,10 +251,8 @@ def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[s
                 _, once = np.unique(word_hashes(data, s, e) + mix(window_of.astype(np.uint64)), return_index=True)
                 window = np.bincount(window_of[once], weights=word[once], minlength=len(start)) / np.maximum(length, LEAST)
                 z[row:end] = _segmented(np.maximum, window, rows, 0.0) - m.tail * np.log(np.maximum(np.diff(rows) / m.usual, 1))
-            score_ = pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], score_], [*[f"_k{i}" for i in range(len(kept))], "score"])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))
 
-    rows = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)])
-    schema = rows.select(*rows.columns[1:]).schema.add("score", "double")
-    out = rows.mapInArrow(scored, schema)
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "score")
+    # not deterministic as far as the optimizer knows, so that a filter on the score doesn't compute it twice
+    once = F.arrow_udf(scored, "double").asNondeterministic()
+    return docs.select(*[F.col(c) for c in ([id_col] if keep is None else keep)], once(F.col(text)).alias("score"))
