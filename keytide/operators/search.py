@@ -34,6 +34,10 @@ def matches(pattern: str, key: Column, match: str = "search") -> Column | None:
     pruned = key_condition(analysis, key)
     if analysis.exact is not None or (pruned is not None and analysis.prefix_is_enough):
         return pruned
+    if analysis.contains is not None:
+        return F.contains(key, F.lit(analysis.contains))
+    if analysis.suffix is not None:
+        return F.endswith(key, F.lit(analysis.suffix))
     found = key.cast("string").rlike(analysis.java)
     return found if pruned is None else pruned & found
 
@@ -43,8 +47,12 @@ def _linear(df: DataFrame, pattern: str) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = pc.match_substring_regex(b.column(b.schema.get_field_index("key")).cast(pa.large_binary()), pattern)
-            yield b.filter(hit)
+            keys = b.column(b.schema.get_field_index("key"))
+            try:
+                text = keys.cast(pa.large_string())
+            except pa.ArrowInvalid:  # bytes that aren't UTF-8 are U+FFFD, as in the JVM
+                text = pa.array([k if k is None else k.decode(errors="replace") for k in keys.to_pylist()], pa.large_string())
+            yield b.filter(pc.match_substring_regex(text, pattern))
 
     return df.mapInArrow(kept, df.schema)
 

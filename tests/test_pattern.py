@@ -97,3 +97,22 @@ def test_key_functions():
     assert analyze("^" + quote_meta("a.b(c)|[d]") + "$").exact == b"a.b(c)|[d]"
     assert common_prefix_length(b"abc", b"abd") == 2 and expiry(5, 0) == 0 and expiry(5, 7) == 12
     assert shown_bytes(10) == "10 B" and shown_bytes(2048) == "2.0 KiB"
+
+
+def test_long_keys_neither_overflow_nor_take_for_ever(spark):
+    from keytide.operators.search import where_pattern
+
+    long = b"ab" * (1 << 18)
+    df = spark.createDataFrame([(long,), (long + b"c",), (b"ab",), (b"",), (b"\xff\xfe",), ("ẞ".encode(),), ("ß".encode(),)], "key binary")
+    count = lambda p: where_pattern(df, p).count()
+    assert count("^(a|b)*$") == 3 and count("^(?:ab|ba)+$") == 2 and count("(a|a)*c") == 1 and count("(.*b){10}$") == 1
+    assert count(".*b$") == 2 and count("a.*") == 3 and count(".*bc") == 1 and count(".*c.*") == 1 and count("^.*c$") == 1
+    assert count("(?i)ß") == count("(?i)ẞ") == 2 and count("(?i)^ß$") == 2 and count("ß") == 1
+
+
+def test_void_ends_are_stripped():
+    from keytide.plans.pattern import analyze
+
+    assert analyze(".*:6$").suffix == b":6" and analyze("x.*").contains == b"x" and analyze(".*abc.*").contains == b"abc"
+    assert analyze("^user:(a|b)*").prefix_is_enough and not analyze("^user:(a|b)*").risky
+    assert all(analyze(p).risky for p in ("^(a|b)*$", "x(a|a)*b", "(.*a){10}$", "x.*a.*b.*c.*d")) and not analyze("^a+[0-9]*$").risky
