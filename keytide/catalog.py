@@ -301,12 +301,7 @@ def k_delete_reinsert(spark: SparkSession, d: str) -> DataFrame:
 
 def _store(spark: SparkSession, d: str, steps: Callable[..., None]) -> DataFrame:
     """A store filled from the log's runs in an order that isn't that of time, after `steps`."""
-    import uuid
-
-    from keytide.session import shared_dir
-    from keytide.sources.store import Store
-
-    store = Store.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", background_compaction=False)
+    store = _opened(spark, background_compaction=False)
     steps(store, keylog(spark, d))
     return store.live(as_of(spark, d))
 
@@ -317,7 +312,7 @@ def k_flush_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         store.apply(log.drop("run_id"))
         store.flush()
 
-    return text(_store(spark, d, steps), (F.col("seq").bitwiseAND(F.lit((1 << 41) - 1))).alias("seq"), "expires_at")
+    return text(_store(spark, d, steps), "seq", "expires_at")
 
 
 @query("k_compact_roundtrip", "SELECT key, seq, expires_at FROM live", KEYLOG_SQL)
@@ -330,7 +325,7 @@ def k_compact_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         store.flush()
         store.compact(as_of=0)
 
-    return text(_store(spark, d, steps), (F.col("seq").bitwiseAND(F.lit((1 << 41) - 1))).alias("seq"), "expires_at")
+    return text(_store(spark, d, steps), "seq", "expires_at")
 
 
 @query("l_limit_ordered", "SELECT key FROM live ORDER BY key LIMIT 7", KEYLOG_SQL)
@@ -399,6 +394,212 @@ def t_stream_live(spark: SparkSession, d: str) -> DataFrame:
     return text(spark.read.schema(state.schema).parquet(f"{base}/out").where(N.visible(as_of(spark, d))), "seq", "expires_at")
 
 
+
+HALF_SQL = "(SELECT (max(seq) + 1) // 2 FROM keylog)"
+
+
+def _opened(spark: SparkSession, **options: object) -> object:
+    import uuid
+
+    from keytide.session import shared_dir
+    from keytide.sources.store import Store
+
+    return Store.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", **options)
+
+
+def _two_runs(spark: SparkSession, d: str, **options: object) -> object:
+    """A store with a flushed run of several files and a delta on top of it."""
+    store, log, middle = _opened(spark, range_partitions=4, **options), log_only(spark, d), as_of(spark, d) // 2
+    store.apply(log.where(F.col("seq") < middle))
+    store.flush()
+    store.apply(log.where(F.col("seq") >= middle))
+    return store
+
+
+def _register_store_searches() -> None:
+    """The same searches on a store, before the delta is flushed and after everything is compacted."""
+    searches = {
+        "regex": (lambda s, at: s.regex_search("^user:1[0-9]:", as_of=at), "regexp_matches(key, '^user:1[0-9]:')"),
+        "suffix": (lambda s, at: s.regex_search(".*:3$", as_of=at), "suffix(key, ':3')"),
+        "substring": (lambda s, at: s.regex_search("er:21", as_of=at), "contains(key, 'er:21')"),
+        "full": (lambda s, at: s.regex_search("user:[0-9]+:1", match="full", as_of=at), "regexp_full_match(key, 'user:[0-9]+:1')"),
+        "prefix": (lambda s, at: s.prefix_scan(b"user:2", as_of=at), "starts_with(key, 'user:2')"),
+        "range": (lambda s, at: s.range_scan(b"user:10", b"user:3", as_of=at), "key >= 'user:10' AND key < 'user:3'"),
+        "get": (lambda s, at: s.range_scan(b"user:1:1", b"user:1:1\x00", as_of=at), "key = 'user:1:1'"),
+    }
+    for name, (found, condition) in searches.items():
+
+        def run_delta(spark: SparkSession, d: str, found: Callable = found) -> DataFrame:
+            return text(found(_two_runs(spark, d), as_of(spark, d)), "id")
+
+        def run_compacted(spark: SparkSession, d: str, found: Callable = found) -> DataFrame:
+            store, at = _two_runs(spark, d), as_of(spark, d)
+            store.flush()
+            store.compact(as_of=at)
+            store.build_trigram_index()
+            return text(found(store, at), "id")
+
+        sql = f"SELECT key, seq AS id FROM live WHERE {condition}"
+        query(f"k_store_{name}", sql, KEYLOG_SQL)(run_delta)
+        query(f"k_store_{name}_compacted", sql, KEYLOG_SQL)(run_compacted)
+
+
+_register_store_searches()
+
+
+@query("k_store_multi", "SELECT p.pattern, l.key FROM live l JOIN (VALUES ('^user:1'), (':3$'), ('^user:[0-9]:'), ('9')) p(pattern) ON regexp_matches(l.key, p.pattern)", KEYLOG_SQL)
+def k_store_multi(spark: SparkSession, d: str) -> DataFrame:
+    return text(_two_runs(spark, d).multi_search(PATTERNS, as_of=as_of(spark, d)), "pattern")
+
+
+@query("k_ttl", f"SELECT key, seq, expires_at FROM newest WHERE op = 1 AND (expires_at = 0 OR expires_at > {HALF_SQL})", KEYLOG_SQL)
+def k_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Expiry as of an earlier time: keys that expire later are still there, though a compaction ran in between."""
+    at = as_of(spark, d) // 2
+    store = _two_runs(spark, d)
+    store.flush()
+    store.compact(as_of=at)
+    return text(store.live(as_of=at), "seq", "expires_at")
+
+
+@query("k_readonly", f"SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM keylog WHERE seq < {HALF_SQL}) WHERE r = 1 AND op = 1 AND (expires_at = 0 OR expires_at > {HALF_SQL})", KEYLOG_SQL)
+def k_readonly(spark: SparkSession, d: str) -> DataFrame:
+    """A reader pinned before the second half came sees none of it, flushed and compacted as it is."""
+    from keytide.sources.store import Store
+
+    store, log, middle = _opened(spark), log_only(spark, d), as_of(spark, d) // 2
+    store.apply(log.where(F.col("seq") < middle))
+    reader = Store.open(spark, store.path, read_only=True)
+    store.apply(log.where(F.col("seq") >= middle))
+    store.flush()
+    store.compact(as_of=0)
+    return text(reader.live(as_of=middle), "seq")
+
+
+@query("k_store_vacuum_prefix", "SELECT key, seq FROM live WHERE NOT starts_with(key, 'user:2')", KEYLOG_SQL)
+def k_store_vacuum_prefix(spark: SparkSession, d: str) -> DataFrame:
+    at = as_of(spark, d)
+    store = _two_runs(spark, d)
+    store.vacuum_prefix(b"user:2", as_of=at)
+    store.flush()
+    store.compact(as_of=at)
+    store.vacuum(0)
+    return text(store.live(as_of=at), "seq")
+
+
+@query("k_compaction_scenario", "SELECT o_orderkey % 2 = 0 AS kept_twice, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")
+def k_compaction_scenario(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts, then deletes, then overwrites of survivors, a flush after each and a compaction: the survivors are left, no delete is."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"))
+    key = lambda df: df.select(F.concat(F.lit("key-"), F.col("n").cast("string")).alias("key"))
+    store = _opened(spark)
+    store.insert_many(key(orders))
+    store.flush()
+    store.delete_many(key(orders.where("n % 5 = 0")))
+    store.flush()
+    store.insert_many(key(orders.where("n % 5 <> 0 AND n % 2 = 0")))
+    store.flush()
+    store.compact()
+    n = F.substring(F.col("key").cast("string"), 5, 20).cast("long")
+    return store.log_rows().where("op = 1 OR op = 2").groupBy((n % 2 == 0).alias("kept_twice")).agg(F.count("*").alias("n"), F.min(n).alias("low"), F.max(n).alias("high"))
+
+
+@query("k_stats", "SELECT 0 AS level, count(*) AS num_keys, round(CAST(count(*) FILTER (op = 2) AS DOUBLE) / count(*), 9) AS tombstone_fraction FROM newest", KEYLOG_SQL)
+def k_stats(spark: SparkSession, d: str) -> DataFrame:
+    store = _opened(spark, range_partitions=3)
+    store.apply(log_only(spark, d))
+    store.flush()
+    return store.stats().select("level", "num_keys", F.round("tombstone_fraction", 9).alias("tombstone_fraction"))
+
+
+@query("k_quarantine", "SELECT key, max(seq) AS seq FROM keylog WHERE run_id IN (0, 2) GROUP BY key HAVING arg_max(op, seq) = 1", KEYLOG_SQL)
+def k_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """One of three deltas is lost; it is quarantined, and the others are read."""
+    store, log = _opened(spark), keylog(spark, d)
+    for run in (0, 1, 2):
+        store.apply(log.where(F.col("run_id") == run).select("key", "op", "seq", F.lit(0).cast("long").alias("expires_at")))
+    lost = store.manifest().deltas()[1].path
+    store.manifests.fs.delete(store.manifests.path(lost), True)
+    if store.quarantine() != [lost]:
+        raise AssertionError("the lost delta wasn't found")
+    # numbers are those of the store; the log's own come back by the key and the order in the run
+    rank = log.where(F.col("run_id").isin(0, 2)).groupBy("key").agg(F.max_by("seq", F.struct(F.col("run_id"), F.col("seq"))).alias("seq"))
+    return text(store.live(as_of=0).select("key").join(rank, "key"), "seq")
+
+
+@query("k_writers", "SELECT key FROM live", KEYLOG_SQL)
+def k_writers(spark: SparkSession, d: str) -> DataFrame:
+    """Many small batches: the count of deltas triggers flushes, and flushes compactions."""
+    store, log = _opened(spark, memtable_max_deltas=2, max_l0=2, background_compaction=True), keylog(spark, d)
+    at, parts = as_of(spark, d), 5
+    for k in range(parts):
+        store.apply(log.where((F.col("seq") >= at * k // parts) & (F.col("seq") < at * (k + 1) // parts)).drop("run_id"))
+    return text(store.live(as_of=at))
+
+
+@query("t_ingest", "SELECT key, seq, expires_at FROM live", KEYLOG_SQL)
+def t_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The log streamed into a store, twice: the second time as after a lost checkpoint."""
+    import uuid
+
+    from keytide.session import shared_dir
+    from keytide.streaming.live import ingest
+
+    base, store = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}", _opened(spark)
+    log_only(spark, d).write.parquet(f"{base}/in")
+    for checkpoint in ("first", "second"):
+        stream = spark.readStream.schema(log_only(spark, d).schema).parquet(f"{base}/in")
+        ingest(stream, store, f"{base}/{checkpoint}", "log").awaitTermination()
+    return text(store.live(as_of=as_of(spark, d)), "seq", "expires_at")
+
+
+@query("a_reservoir", "SELECT least(count(*), 100) AS n, least(count(*), 100) AS distinct_keys, CAST(0 AS BIGINT) AS foreign_keys FROM (SELECT DISTINCT key FROM keylog)", KEYLOG_SQL)
+def a_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of 100 keys: as many as asked for, none twice, none that isn't in the log."""
+    keys = log_only(spark, d).select("key").distinct()
+    sample = A.reservoir(keys, 100, "key")
+    known = keys.select("key", F.lit(1).alias("known"))
+    return sample.join(known, "key", "left").agg(F.count("*").alias("n"), F.count_distinct("key").alias("distinct_keys"), F.count_if(F.col("known").isNull()).alias("foreign_keys"))
+
+
+@query("j_postings_intersect", "SELECT run_id FROM (SELECT DISTINCT run_id, substr(key, CAST(i AS INTEGER), 3) AS t FROM keylog, range(1, 40) r(i) WHERE i <= length(key) - 2) WHERE t IN ('r:1', ':11', '11:') GROUP BY run_id HAVING count(*) = 3", KEYLOG_SQL)
+def j_postings_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that hold every trigram of a literal."""
+    index = G.segment_index(keylog(spark, d).select(F.col("run_id").alias("segment_id"), "key"))
+    return G.segments_with(index, (b"r:11:",)).select(F.col("segment_id").alias("run_id"))
+
+
+@query("x_quote_meta", "SELECT doc_id FROM documents WHERE contains(text, 'e. T')")
+def x_quote_meta(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("key"))
+    return S.where_pattern(docs, K.quote_meta("e. T")).select("doc_id")
+
+
+@query("x_common_prefix", "SELECT run_id, max(i) AS n FROM (SELECT run_id, min(key) AS lo, max(key) AS hi FROM keylog GROUP BY run_id), range(0, 60) r(i) WHERE i <= length(lo) AND left(lo, CAST(i AS INTEGER)) = left(hi, CAST(i AS INTEGER)) GROUP BY run_id", KEYLOG_SQL)
+def x_common_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """How much the first and the last key of each run share (one row a run comes to the driver)."""
+    rows = [(r.run_id, K.common_prefix_length(bytes(r.min_key), bytes(r.max_key))) for r in runs(spark, d).collect()]
+    return spark.createDataFrame(rows, "run_id int, n bigint")
+
+
+@query("x_expiry", "SELECT concat('customer:', CAST(c_custkey AS VARCHAR)) AS key, CAST(1050 AS BIGINT) AS expires_at FROM customer")
+def x_expiry(spark: SparkSession, d: str) -> DataFrame:
+    store = _opened(spark)
+    store.insert_many(table(spark, d, "customer").select(F.concat_ws(":", F.lit("customer"), F.col("c_custkey").cast("string")).alias("key")), ttl=50, as_of=1000)
+    return text(store.live(as_of=1049), "expires_at")
+
+
+@query("k_verify", "SELECT true AS ok, CAST(4 AS BIGINT) AS n")
+def k_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Three files of a run and a delta, all as their entries say."""
+    store = _opened(spark, range_partitions=3)
+    for _ in range(2):
+        store.apply(log_only(spark, d))
+        if not store.manifest().runs():
+            store.flush()
+    return store.verify().groupBy("ok").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -13,12 +13,12 @@ from keytide.sources.store import Store
 def ingest(log: DataFrame, store: Store, checkpoint: str, name: str, **trigger: object) -> StreamingQuery:
     """Appends a stream of rows (key, op, seq, expires_at) to a store.
 
-    Each micro-batch is one commit whose token is the query's name and the batch's number, so a batch that is
-    replayed after a failure changes nothing.
+    Each micro-batch is one commit that also moves the stream's mark (its name and the batch's number), so a batch
+    that is replayed after a failure, however late, changes nothing.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        store.apply(df, token=f"{name}:{number}")
+        store.apply(df, mark=(name, number))
 
     writer = log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(name)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -181,3 +181,128 @@ def test_statistics(spark):
 def test_trigram_postings_are_bytes(spark):
     rows = spark.createDataFrame([("café",), ("ca",), ("caf",)], "w string").select(F.col("w").cast("binary").alias("key"))
     assert {bytes(r.trigram): r.n for r in trigrams.postings(rows).collect()} == {b"caf": 2, b"af\xc3": 1, b"f\xc3\xa9": 1}
+
+
+def test_a_late_writer_is_newest_whatever_was_compacted_meanwhile(spark, store):
+    late = Store.open(spark, store.path)
+    store.insert("k")
+    store.delete("k")
+    held = late._commit
+
+    def slow(change):
+        # the insert's rows are written; before they are committed the other handle compacts the delete away
+        if change.__name__ == "add":
+            store.flush()
+            store.compact()
+        return held(change)
+
+    late._commit = slow
+    late.insert("k")
+    assert keys(store.live()) == ["k"]
+    store.flush()
+    store.compact()
+    assert keys(store.live()) == ["k"]
+
+
+def test_a_source_keeps_its_numbers_while_they_grow(spark, store):
+    log = lambda *rows: spark.createDataFrame(rows, "key binary, op tinyint, seq bigint, expires_at bigint")
+    store.apply(log((b"a", 1, 5, 0), (b"a", 2, 9, 0)))
+    store.apply(log((b"b", 1, 1000, 0)))
+    store.apply(log((b"a", 1, 3, 0), (b"b", 2, 4, 0)))
+    assert {bytes(r.key): r.seq for r in store.live().collect()} == {b"a": 1001} and store.manifest().next_seq == 1003
+    store.insert("c")
+    assert store.manifest().next_seq == 1004
+    with pytest.raises(Exception, match="sequence number"):
+        store.apply(log((b"x", 1, -1, 0)))
+    assert store.repair() == []
+
+
+def test_runs_are_cut_into_files_and_searches_skip_them(spark, store):
+    store.options["range_partitions"] = 4
+    store.insert_many([f"key{i:04d}" for i in range(400)])
+    store.flush()
+    assert len(store.manifest().runs()) == 4 and len({s.group for s in store.manifest().runs()}) == 1
+    found = store.regex_search("^key000[0-9]$")
+    assert len(found.inputFiles()) == 1 and found.count() == 10
+    plan = store.live()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    store.insert("key0001")
+    plan = store.prefix_scan(b"key03")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert store.live().count() == 400
+    store.flush()
+    store.compact()
+    assert store.live().count() == 400 and store.verify().where("not ok").count() == 0
+    assert store.vacuum(0) == 7 and store.repair() == []
+
+
+def test_many_small_batches_are_flushed_by_count(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/small", memtable_max_deltas=3)
+    for i in range(4):
+        store.insert(f"k{i}")
+    assert [s.level for s in store.manifest().segments] == [0, -1] and store.live().count() == 4
+    assert store.prune_deltas() == 3 and store.repair() == [] and store.live().count() == 4
+
+
+def test_pausing_and_the_background_thread(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/thread", max_l0=2)
+    store.start_compaction(interval=60)
+    store.pause_compaction()
+    for i in range(2):
+        store.insert(f"k{i}")
+        store.flush()
+    store.trigger_compaction()
+    assert store.wait_idle(60) and {s.level for s in store.manifest().runs()} == {0}
+    store.resume_compaction()
+    store.trigger_compaction()
+    assert store.wait_idle(60) and {s.level for s in store.manifest().runs()} == {1} and keys(store.live()) == ["k0", "k1"]
+    store.set_autotuner_enabled(True)
+    before = store.options["memtable_target_bytes"]
+    store.trigger_compaction()
+    assert store.wait_idle(60) and store.options["memtable_target_bytes"] < before
+    store.close()
+    assert store._worker is None
+
+
+def test_activity_and_disk_usage(store):
+    store.insert_many(["a", "b"])
+    with pytest.raises(EmptyKey):
+        store.insert("")
+    store.flush()
+    assert len(store.results(store.regex_search("a"))) == 1
+    seen = {r.op: r for r in store.activity().collect()}
+    assert (seen["insert"].calls, seen["insert"].failures, seen["insert"].rows) == (2, 1, 2)
+    assert seen["search"].calls == 1 and seen["results"].rows == 1 and 0 < seen["flush"].p50_ms <= seen["flush"].p99_ms
+    usage = {r.category: r.files for r in store.disk_usage().collect()}
+    assert usage["segments"] >= 1 and usage["manifest"] >= 4
+
+
+def test_a_broken_file_is_found_and_taken_out(spark, store):
+    store.insert("good")
+    store.insert("bad")
+    broken = store.manifest().deltas()[1]
+    for status in store.manifests.fs.listStatus(store.manifests.path(broken.path)):
+        if status.getPath().getName().endswith(".parquet"):
+            stream = store.manifests.fs.create(status.getPath(), True)
+            stream.write(bytearray(b"not parquet"))
+            stream.close()
+    assert [r.id for r in store.verify().where("not ok").collect()] == [broken.id]
+    assert store.quarantine() == [broken.path] and keys(store.live()) == ["good"]
+    assert store.manifest().quarantined[0]["path"] == broken.path and store.quarantine() == []
+
+
+def test_an_unreadable_manifest_falls_back_to_the_one_before(store):
+    store.insert("a")
+    newest = store.manifests.versions()[-1]
+    stream = store.manifests.fs.create(store.manifests.path(f"manifest/v-{newest + 1:012d}.json"), False)
+    stream.write(bytearray(b"{"))
+    stream.close()
+    assert keys(store.live()) == ["a"]
+    store.insert("b")
+    assert keys(store.live()) == ["a", "b"] and store.manifests.versions()[-1] > newest + 1
+
+
+def test_old_marks_and_tokens_stay_applied(spark, store):
+    log = spark.createDataFrame([(b"a", 1, 1, 0)], "key binary, op tinyint, seq bigint, expires_at bigint")
+    assert [store.apply(log, mark=("s", n)) for n in (1, 2, 1, 0)] == [1, 1, 0, 0]
+    assert [store.apply(log, token=t) for t in ("x", "y", "x")] == [1, 1, 0] and store.manifest().marks == {"s": 2}
