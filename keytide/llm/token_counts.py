@@ -87,7 +87,12 @@ def _cached(path: str, texts: list[str]) -> np.ndarray:
         cache.clear()
         missing = list(dict.fromkeys(texts))
     cache.update(zip(missing, _encoded(path, missing)))
-    return np.fromiter(map(cache.__getitem__, texts), np.int64, len(texts))
+    out = np.fromiter(map(cache.__getitem__, texts), np.int64, len(texts))
+    # long pieces seldom come again: without them the cache is bounded in bytes too
+    for x in missing:
+        if len(x) > MAX_PIECE:
+            del cache[x]
+    return out
 
 
 def _runs(col: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
