@@ -13,9 +13,9 @@ Scoring therefore needs only v, a fixed 4 * 2^bits bytes that are broadcast, and
 
 Fit: a bounded sample of `per_class` labelled texts of each class, `max_bytes` of text in all. If a class has more,
 its longest texts are cut, by sampling their windows, to the one length at which all fit; none is left out.
-Defined cases: null and empty texts, and texts without a word, get the score of an empty window;
+Defined cases: null and empty texts, and texts without a word, get score 0: nothing in them is toxic;
 null labels and null ids are not learned from; an id labelled more than once is toxic if any label
-is; without labels of both classes every score is the share of toxic labels (0 if there is none).
+is; without labels of both classes every other score is the share of toxic labels (0 if there is none).
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[s
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for col in texts:
-            z = np.zeros(len(col))
+            z, blank = np.zeros(len(col)), np.ones(len(col), bool)
             for row, end, data, at in padded_chunks(col, " ", " "):
                 s, e, w = word_spans(data, at, _SEP)
                 word = _word_scores(data, s, e, m.v, m.bits)
@@ -250,8 +250,9 @@ def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[s
                 window_of = np.repeat(np.arange(len(start)), length)
                 _, once = np.unique(word_hashes(data, s, e) + mix(window_of.astype(np.uint64)), return_index=True)
                 window = np.bincount(window_of[once], weights=word[once], minlength=len(start)) / np.maximum(length, LEAST)
+                blank[row:end] = np.diff(rows) == 0
                 z[row:end] = _segmented(np.maximum, window, rows, 0.0) - m.tail * np.log(np.maximum(np.diff(rows) / m.usual, 1))
-            yield pa.array(1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30))))
+            yield pa.array(np.where(blank, 0.0, 1 / (1 + np.exp(-np.clip(z + m.bias, -30, 30)))))
 
     # not deterministic as far as the optimizer knows, so that a filter on the score doesn't compute it twice
     once = F.arrow_udf(scored, "double").asNondeterministic()
