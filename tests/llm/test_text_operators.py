@@ -301,7 +301,7 @@ def test_toxicity_learns_stems_and_survives_odd_rows(spark, none):
     unseen = [i for i in range(400) if i % 5 == 4]
     right = sum((out[i] >= 0.3) == (i % 4 == 0) for i in unseen)
     assert right >= 0.85 * len(unseen)
-    assert out[1000] >= 0.3 and max(out[1002], out[1003], out[None], out[1004]) < 0.3
+    assert out[1000] >= 0.3 and max(out[1001], out[1002], out[1003], out[None], out[1004]) < 0.3
     assert all(0 <= s <= 1 for s in out.values()) and score(none, "doc_id", "text", model).count() == 0
     assert fit_toxicity(df, known.where("false"), "doc_id", "text", "toxic").v.max() == 0
 
@@ -372,3 +372,86 @@ def test_word_counts_in_the_jvm(spark, docs, rows):
 
     assert Counter(r.k for r in docs.select(count_words("text").alias("k")).collect()) == Counter(len(words(r[1])) for r in rows)
     assert docs.where(F.col("text").isNull()).select(count_words("text").alias("k")).first().k == 0
+
+
+def test_language_id_equals_a_naive_classifier(spark, docs, rows):
+    """Every prediction again: trigrams counted one by one, weighed, normalised and compared with each centroid."""
+    from keytide.llm.language_id import BITS
+
+    model = fit_language(docs.where("lang is not null or doc_id % 2 = 0").withColumn("lang", F.coalesce("lang", F.lit("zz"))), "doc_id", "text", "lang", clusters=3)
+    found = Counter((r.doc_id, r.lang_pred, round(r.score, 4), r.rejected) for r in predict(docs, "doc_id", "text", model).collect())
+
+    def kind(b: int) -> int:
+        return b | 32 if chr(b).isascii() and chr(b).isalpha() else b if b >= 128 else 32
+
+    def naive(text: str | None) -> tuple:
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        data = [kind(b) for b in f" {text.lower()}  ".encode()]
+        counts = Counter(((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS) for a, b, c in zip(data, data[1:], data[2:]) if b != 32)
+        x = {k: np.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        cos = [sum(v * float(c[k]) for k, v in x.items()) / norm for c in model.centroids]
+        j = int(np.argmax(cos))
+        return model.labels[model.owner[j]], round(min(max(cos[j], 0), 1), 4), bool(1 - cos[j] > model.radius[j])
+
+    want = Counter((r[0], *naive(r[1])) for r in rows)
+    assert sum((found - want).values()) <= 2  # a fourth digit may round the other way
+    assert {r.asDict().keys() == {"doc_id", "lang_pred", "score", "rejected"} for r in predict(docs, "doc_id", "text", model).limit(3).collect()} == {True}
+
+
+def test_language_id_weighs_by_documents(spark):
+    texts = ["aaa bbb", "aaa ccc", "ddd"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = fit_language(df, "doc_id", "text", "lang", clusters=1)
+    assert np.allclose(np.unique(model.idf), [np.log(4 / (1 + n)) + 1 for n in (2, 1, 0)])
+    assert np.isclose(np.linalg.norm(model.centroids, axis=1), 1).all()
+
+
+def test_toxicity_equals_a_naive_scorer(docs, rows, spark):
+    """Every score again: n-grams hashed and averaged word by word, windows one by one, for a model with arbitrary vectors."""
+    import math
+
+    from keytide.llm import toxicity as tox
+
+    rng = np.random.default_rng(5)
+    model = tox.Model(rng.normal(0, 8, 1 << 10).astype(np.float32), -1.0, 10, 0.05, 2.0)
+    found = Counter((r.doc_id, round(r.score, 4)) for r in score(docs, "doc_id", "text", model).collect())
+
+    def gram(part: list[int]) -> int:
+        code = 0x811C9DC5 + len(part)
+        for b in part:
+            code = ((code ^ b) * 0x01000193) & 0xFFFFFFFF
+        code ^= code >> 15
+        return (code * 0x85EBCA6B & 0xFFFFFFFF) >> 22
+
+    def naive(text: str | None) -> float:
+        split, own = [], []
+        for b in (text or "").lower().encode() + b" ":
+            if tox._SEP[b]:
+                split, own = (split + [bytes(own)] if own else split), []
+            else:
+                own.append(b)
+
+        def word(w: bytes) -> float:
+            padded = [32, *w, 32]
+            grams = [padded[i : i + n] for n in tox.GRAMS for i in range(len(padded) - n + 1)]
+            return sum(float(model.v[gram(g)]) for g in grams) / max(len(grams), 1)
+
+        windows = [split[i : i + tox.WINDOW] for i in range(0, len(split), tox.WINDOW)]
+        z = [sum(map(word, set(w))) / max(len(w), tox.LEAST) for w in windows]
+        top = max(z, default=0.0) - model.tail * math.log(max(len(windows) / model.usual, 1))
+        return 1 / (1 + math.exp(-(top + model.bias))) if windows else 0.0
+
+    want = Counter((r[0], round(naive(r[1]), 4)) for r in rows)
+    assert sum((found - want).values()) <= 2 and sum(found.values()) == len(rows)  # a fourth digit may round the other way
+
+
+def test_toxicity_trains_on_a_tiny_vocabulary():
+    """Words of one class get higher vectors than words of the other, unseen forms of them too."""
+    from keytide.llm import toxicity as tox
+
+    texts, y = ["bad cat", "good dog", "bad dog", "good cat sat"], np.array([1.0, 0.0, 1.0, 0.0])
+    model = tox._train(list(texts), y, 8, 4, 60, 1)
+    z = lambda t: sum(tox._word_scores(np.frombuffer(f" {w} ".encode(), np.uint8), np.array([1]), np.array([1 + len(w)]), model.v, 8)[0] for w in t.split()) / tox.LEAST + model.bias
+    assert all((z(t) > 0) == (k == 1) for t, k in zip(texts, y)) and z("baddest") > z("goodly")
