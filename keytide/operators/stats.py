@@ -40,6 +40,7 @@ def reservoir(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 MIB = 1 << 20
+# The thresholds, factors and bounds in `autotune`, so that stores tune as users expect them to.
 
 
 def autotune(stats: dict[str, float], options: dict[str, int]) -> dict[str, int]:

@@ -11,6 +11,7 @@ from keytide.operators.search import where_pattern
 from keytide.plans.pattern import analyze
 from keytide.schema import InvalidPattern
 
+# Words and patterns on which the RE2 dialect has to agree with its definition.
 WORDS = [
     "apple", "application", "apply", "banana", "bandana", "cat", "catalog", "dog", "doggy", "test123", "test456", "test789", "abc123def", "xyz789",
     "hello-world", "hello_world", "hello.world", "hello@world", "Test", "TEST", "TeSt", "café", "naïve", "日本語", "a", "z", "aaa", "zzz",
