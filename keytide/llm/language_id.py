@@ -4,7 +4,7 @@ Fit: a bounded sample (`per_label` texts of each language, `max_rows` in all, so
 very many; none is left out) gives the inverse document frequencies and, per language, `clusters` centroids by spherical
 k-means. Only sparse vectors of at most `2^bits` entries of 4 bytes reach the driver. Prediction: one pass over whole texts; the
 label of the centroid with the largest cosine. A text farther from it than the centroid's radius
-(a quantile of its members' distances) is marked `rejected`.
+(a quantile of its members' distances, and a margin for rounding) is marked `rejected`.
 
 Defined cases: null texts and texts without a letter give `und`, score 0, rejected. Null labels
 and null ids are never learned from. Without anything to learn every text is `und`. Repeated rows
@@ -28,6 +28,8 @@ from keytide.session import ship
 
 BITS = 13
 ROWS = 384
+#: Single precision rounds a cosine by less than this: the text that sets a radius lies inside it however it is computed.
+MARGIN = 1e-5
 UNKNOWN = "und"
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -127,7 +129,7 @@ def fit(df: DataFrame, id_col: str, text: str, label: str, *, per_label: int = 1
         far = 1 - np.einsum("ij,ij->i", x, c[own])
         centroids.append(c)
         owner += [j] * len(c)
-        radius += [float(np.quantile(far[own == k], quantile)) if (own == k).any() else 0.0 for k in range(len(c))]
+        radius += [float(np.quantile(far[own == k], quantile)) + MARGIN if (own == k).any() else 0.0 for k in range(len(c))]
     return Model(labels, idf, np.concatenate(centroids), np.array(owner, np.int64), np.array(radius), bits)
 
 
