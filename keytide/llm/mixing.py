@@ -14,7 +14,7 @@ then within a bucket: no task sees a whole source, nor all copies of one row. Ra
 and reruns agree.
 
 Targets: sources by code point, null last, weigh as `weights` repeating, and share all tokens;
-a target stops at `max_copies` times its source, the excess is shared again by weight.
+a target stops at `max_copies` times its source, the excess is shared again by weight. Sources may be as many as documents.
 
 Defined cases: null and empty texts have size 0 and take nothing; null sources are a source;
 null and repeated ids count as rows of their own (equal rows may be rounded in either order, which
@@ -39,23 +39,34 @@ TOLERANCE = 1e-6
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], max_copies: int) -> DataFrame:
-    """(_source, source_size, n, target) of a table (_source, _size, n): one row a source.
+    """(_source, source_size, n, largest, target) of a table (_source, _size, n): one row a source.
 
-    The shares that no cap binds are c * weight for one c. With sources in order of cap / weight,
-    the first ones are capped; c follows from what is left at the first source it suits.
+    The shares that no cap binds are c * weight for one c: the root of the concave sum of min(cap, c * weight)
+    less all words. Newton's iteration for it rises from the left and ends at the root: each step sets aside the sources
+    that are capped and shares what they leave. A step is an aggregation over the sources, exact in whole words.
     """
     per = sizes.groupBy("_source").agg(F.sum(F.col("_size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"), F.max("_size").alias("largest"))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("_source").asc_nulls_last())
-    k = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    # ranges of sources are numbered on their own, then by the ranges before: no task sees all sources
+    per = written(per.repartitionByRange(F.col("_source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-sources")
+    # a row for each shuffle partition
+    offsets = per.groupBy("_range").agg(F.count("*").alias("k"))
+    offsets = offsets.select(F.col("_range").alias("_of"), (F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("k")).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_source").asc_nulls_last())) - 1 + F.col("offset")
+    k = F.pmod(rank, F.lit(len(weights)))
+    per = per.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (k + 1).cast("int")))
-    per = per.withColumn("cap", (F.col("source_size") * max_copies).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("_source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("c", (F.sum("source_size").over(everything) - before) / after)
-    level = F.min(F.when(F.col("c") <= F.col("ratio"), F.struct("ratio", "c"))).over(everything)["c"]
-    return per.withColumn("level", level).select("_source", "source_size", "n", "largest", F.least("cap", F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    per = written(per.withColumn("cap", F.col("source_size") * max_copies).withColumn("ratio", F.col("cap") / F.col("weight")).drop("_range", "_of", "offset"), "mix-weights")
+    everything, level = per.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        full = F.col("ratio") <= level
+        capped, open_ = per.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        # nothing is left to share: every source is capped
+        above = float("inf") if open_ is None else (everything - (capped or 0)) / open_
+        if above <= level:
+            break
+        level = above
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))
+    return per.select("_source", "source_size", "n", "largest", target.alias("target"))
 
 
 def _tilt(x: Column, m: int) -> Column:

@@ -252,6 +252,27 @@ def test_mixing_meets_targets_and_newton_the_dual(docs, none, rows, spark):
     assert Counter((r.doc_id, r._copies) for r in again) == Counter((r.doc_id, r._copies) for r in found)
 
 
+def test_mixing_targets_of_many_sources(spark):
+    import random
+
+    for many in (0, 1, 700):
+        rng = random.Random(many)
+        per = {f"s{i}é" if i % 2 else f"S{i}": int(10 ** rng.uniform(0, 7)) for i in range(many)} | ({None: 77, "": 0} if many else {})
+        goal, left, open_ = {}, float(sum(per.values())), {s: 1 + i % 3 for i, s in enumerate(sorted(per, key=lambda x: (x is None, x or "")))}
+        while open_:  # by the definition: what stops at its cap leaves the rest to the others
+            full = [s for s in open_ if left * open_[s] / sum(open_.values()) > 3 * per[s]]
+            if not full:
+                goal |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+                break
+            for s in full:
+                goal[s] = 3.0 * per[s]
+                left -= goal[s]
+                del open_[s]
+        df = spark.createDataFrame([(s, n, 1) for s, n in per.items()], "_source string, _size long, n long")
+        found = {r._source: r.target for r in mixing.targets(df, (1, 2, 3), 3).collect()}
+        assert found.keys() == goal.keys() and all(found[s] == pytest.approx(goal[s]) for s in goal)
+
+
 def test_mixing_deals_out_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     data = [(1, "one two three", "a")] * 600 + [(i, f"w{i} x y", "b") for i in range(2, 300)] + [(None, None, None), (None, "", None)]
