@@ -13,15 +13,14 @@ candidate pair overlaps; sums over the fragments are exact.
 2. The sets of the classes that are left are made once more and written.
 3. They go to the fragments with whole hashes, which return those that several sets have, and how many.
    In the order (number, hash), two linked sets share a shingle among their first
-   n - ceil(t n) + 1: the prefix index.
+   n - ceil(t n) + 1: the prefix index. Of its entries with the same members one is kept.
 4. Candidates come from the index in rounds: each shingle offers its members a few hubs; pairs inside a component found
-   so far are left out; fragments count the partial overlaps and their sum decides a link. Large groups of
-   near copies thus need about a pair for each member.
+   so far are left out; a few fragments count the partial overlaps and their sum decides a link. Large groups of
+   near copies thus need about a pair for each member. Pairs are dealt out by bytes of their sets, so a task's memory doesn't grow with the table.
 5. Where an index entry still holds several components, all its members outside the largest one are probed against
-   everything: a fragment counts a probe's partial overlaps with all sets of other components at once, over its inverted
-   lists, and sends them on as one packed row, without those that miss more of the probe in the fragment alone than a link may miss in all.
-   Sums over the fragments decide; a probe returns a link for each component it reaches. No pair of the
-   index is left out, and no pair is a row.
+   all its members of other components. The order is cut into `NARROW` fragments; the sum of the smaller of two sets' numbers in each bounds their
+   overlap, and pairs that it rules out never become rows. Of the others, first the likeliest of each component is tested as in 4, then,
+   with the components this gives, all that are left. No pair of the index is left out.
 6. Connected components of the links, and the classes' members, give each document its component.
 
 Defined cases: null texts, empty texts and texts without words have an empty set and are linked with nothing; fewer words than
@@ -40,16 +39,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.components import components
-from keytide.llm.text import chunks, lowered, mix, rolled, word_hashes, word_spans
+from keytide.llm.text import chunks, lowered, mix, release, rolled, word_hashes, word_spans
 from keytide.session import discard, ship, small, steady, written
 
 WIDTH = 5
-#: Shingles of a fragment, and of a packed row, about.
+#: Shingles of a fragment, and of a batch of packed rows, about.
 FRAGMENT = 2_000_000
-PACKED = 2_000_000
+PACKED = 1_000_000
+#: Shingles of an Arrow batch, about: what larger ones take outside the heap doesn't come back.
+SENT = 250_000
 #: Documents of a packed row: their places have 16 bits.
 PLACES = 1 << 16
-PAIRS = 500_000
+#: Fragments in which pairs are verified, and the most pairs and shingles of a task there, about.
+WIDE = 8
+PAIRS = 50_000
+SEGMENTS = 1_000_000
+#: Fragments whose numbers of shingles bound an overlap.
+NARROW = 256
 HUBS = (1, 4)
 
 
@@ -115,10 +121,19 @@ def _packs(rows: Iterator[tuple[int, np.ndarray]], fragments: int, code: np.dtyp
         sets.append(x)
         size += len(x) + 16
         if size >= PACKED or len(rids) == PLACES:
-            yield _packed(rids, sets, fragments, code)
+            yield from _sent(_packed(rids, sets, fragments, code))
             rids, sets, size = [], [], 0
     if rids:
-        yield _packed(rids, sets, fragments, code)
+        yield from _sent(_packed(rids, sets, fragments, code))
+    del rids, sets
+    release()
+
+
+def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `SENT` shingles, a row at least."""
+    step = max(1, SENT * batch.num_rows * 8 // max(batch.nbytes, 1))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
 
 
 def _unpacked(part: pa.Table, name: str, kind: np.dtype) -> list[np.ndarray]:
@@ -137,6 +152,7 @@ def _counts(codes: np.ndarray) -> np.ndarray:
 
 def _shared(part: pa.Table, code: np.dtype, hashes: bool) -> pa.Table:
     """By batch: of each document the number of codes that another has too; hashes: these codes themselves and their numbers of documents."""
+    release()
     docs, codes = _unpacked(part, "docs", np.uint16), _unpacked(part, "codes", code)
     count = _counts(np.concatenate(codes))
     at, out = 0, []
@@ -160,6 +176,7 @@ SHARED_SCHEMA = "batch bigint, heads binary, docs binary, codes binary, counts b
 
 def _known(part: pa.Table, percent: int) -> pa.Table:
     """(_rid, n, one, two, left) of a batch's documents; left: they share enough of their set to link."""
+    release()
     heads = next(np.frombuffer(h, HEAD) for h in part["heads"].to_pylist() if h)
     total = np.zeros(len(heads), np.int64)
     for d, n in zip(_unpacked(part, "docs", np.uint16), _unpacked(part, "counts", np.int32)):
@@ -170,6 +187,7 @@ def _known(part: pa.Table, percent: int) -> pa.Table:
 
 def _prefixes(part: pa.Table, percent: int) -> pa.Table:
     """(h, cls, n) of a batch: each set's first shingles in the order (number of sets, hash). Those of one set alone come first and are left out."""
+    release()
     heads = next(np.frombuffer(h, HEAD) for h in part["heads"].to_pylist() if h)
     doc, h, count = (np.concatenate(_unpacked(part, c, k)) for c, k in (("docs", np.uint16), ("codes", np.uint64), ("counts", np.int32)))
     order = np.lexsort((h, count, doc))
@@ -184,6 +202,7 @@ def _prefixes(part: pa.Table, percent: int) -> pa.Table:
 
 def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
     """Partial overlaps of the pairs in one fragment."""
+    release()
     own = {c: np.frombuffer(s, np.uint64) for c, s in zip(segments["cls"].to_pylist(), segments["segment"].to_pylist())}
     a, b, out = pairs["a"].to_pylist(), pairs["b"].to_pylist(), []
     none = np.zeros(0, np.uint64)
@@ -197,18 +216,43 @@ def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"a": pairs["a"], "b": pairs["b"], "common": pa.array(out, pa.int64())})
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose partial overlaps add up to a link."""
-    groups = max(1, -(-pairs.count() // PAIRS))
-    group = F.pmod(F.xxhash64("b"), F.lit(groups))
-    here = pairs.select(F.col("a").alias("cls"), group.alias("g")).union(pairs.select("b", group)).distinct()
-    left = segments.join(here, "cls").groupBy("fragment", "g")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb, by) whose partial overlaps add up to a link. by: the one of a and b that has few pairs."""
+    number, shingles = pairs.agg(F.count("*"), F.sum(F.col("na") + F.col("nb"))).first()
+    fragments = max(1, min(WIDE, -(-shingles // FRAGMENT)))
+    groups = max(1, -(-number // PAIRS), -(-shingles // (fragments * SEGMENTS)))
+    group = F.pmod(F.xxhash64("by"), F.lit(groups))
+    here = pairs.select(F.col("a").alias("_rid"), group.alias("g")).union(pairs.select("b", group)).groupBy("_rid").agg(F.collect_set("g").alias("gs"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for batch in batches:
+            for rid, hashes, gs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                x = np.frombuffer(hashes.as_buffer(), np.uint64)
+                at = _cuts(x, fragments)
+                for f in np.flatnonzero(np.diff(at)).tolist():
+                    segment = x[at[f] : at[f + 1]].tobytes()
+                    for g in gs:
+                        out.append((rid, f, g, segment))
+                        size += len(segment) // 8 + 8
+                        if size >= SENT:
+                            yield _rows(out)
+                            out, size = [], 0
+        if out:
+            yield _rows(out)
+
+    left = sets.select("_rid", "hashes").join(here, "_rid").mapInArrow(cut, "cls bigint, fragment int, g bigint, segment binary").groupBy("fragment", "g")
     right = pairs.select("a", "b", group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("fragment")).groupBy("fragment", "g")
     parts = left.cogroup(right).applyInArrow(_overlaps, "a bigint, b bigint, common bigint")
     sums = parts.groupBy("a", "b").agg(F.sum("common").alias("common"))
     return sums.join(pairs, ["a", "b"]).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["cls", "fragment", "g", "segment"])
+
+
 def linked(docs: DataFrame, id_col: str, text: str, *, width: int = WIDTH, percent: int = 80) -> DataFrame:
     """(_rid, id, n, comp, rep) of every document: its row number, set size, and component: the smallest id, and the row number of the row that has it.
 
@@ -234,8 +278,13 @@ def linked(docs: DataFrame, id_col: str, text: str, *, width: int = WIDTH, perce
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [x.tobytes() for x in shingle_sets(b.column(1), width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["_rid", "hashes"])
+            at, sets, size = 0, [], 0
+            for x in shingle_sets(b.column(1), width):
+                sets.append(x.tobytes())
+                size += len(x)
+                if size >= SENT or at + len(sets) == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], ["_rid", "hashes"])
+                    at, sets, size = at + len(sets), [], 0
 
     left = classes.select(F.col("cls").alias("_rid"))
     sets = written(rows.select("_rid", "_text").join(small(left, 32 * n_classes), "_rid").mapInArrow(hashed, "_rid bigint, hashes binary"), "sets")
@@ -262,48 +311,46 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
 
     numbers = sets.mapInArrow(whole, PACKED_SCHEMA).groupBy("fragment").applyInArrow(lambda t: _shared(t, np.dtype(np.uint64), True), SHARED_SCHEMA)
     index = written(numbers.groupBy("batch").applyInArrow(lambda t: _prefixes(t, percent), "h bigint, cls bigint, n bigint"), "prefixes")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cls, fragment, segment = [], [], []
-            for rid, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(hashes, np.uint64)
-                at = _cuts(x, fragments)
-                for f in np.flatnonzero(np.diff(at)).tolist():
-                    cls.append(rid)
-                    fragment.append(f)
-                    segment.append(x[at[f] : at[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(fragment, pa.int32()), pa.array(segment, pa.binary())], ["cls", "fragment", "segment"])
-
-    segments = sets.select("_rid", "hashes").mapInArrow(cut, "cls bigint, fragment int, segment binary")
+    # entries with the same members offer the same pairs: one of them is kept
+    alike = index.groupBy("h").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("cls", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]).where("k > 1")
+    kept = alike.groupBy("k", "x1", "x2").agg(F.min("h").alias("h")).select("h")
+    index = written(index.join(kept, "h"), "index")
     links = tested = None
     for round_, hubs in enumerate(HUBS):
         at = _open_entries(index, links)
         hub = at.groupBy("h", F.pmod(F.xxhash64("cls", F.lit(round_)), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("cls", "n", "comp")).alias("hub")).select("h", "hub")
         size = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("comp") != F.col("hub.comp"))
         low = F.col("cls") < F.col("hub.cls")
-        pairs = at.join(hub, "h").where(size).select(F.when(low, F.col("cls")).otherwise(F.col("hub.cls")).alias("a"), F.when(low, F.col("hub.cls")).otherwise(F.col("cls")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(low, F.col("hub.n")).otherwise(F.col("n")).alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        new = written(_verified(pairs, segments, fragments, percent), "verified")
-        links = new if links is None else links.union(new)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-    at = _open_entries(index, links)
-    per = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    largest = per.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("most")).select("h", F.col("most.comp").alias("most"))
-    probes = written(at.join(largest, "h").where(F.col("comp") != F.col("most")).select("cls").distinct(), "probes")
-    if probes.isEmpty():
-        return links
-    # every set with its component and whether it is probed
-    known = _with_components(sets.select(F.col("_rid").alias("cls"), (F.octet_length("hashes") / 8).cast("long").alias("n")), links)
-    known = written(known.join(probes.withColumn("probe", F.lit(True)), "cls", "left").withColumn("probe", F.col("probe").isNotNull()), "known")
-    told = segments.join(known, "cls").groupBy("fragment").applyInArrow(lambda t: _probed(t, percent), "cls bigint, n bigint, members binary, counts binary, sizes binary, comps binary")
-    found = told.groupBy("cls").applyInArrow(lambda t: _reached(t, percent), "a bigint, b bigint")
-    found = written(found, "probed")
-    return found if links is None else links.union(found)
+        pairs = at.join(hub, "h").where(size).select(F.when(low, F.col("cls")).otherwise(F.col("hub.cls")).alias("a"), F.when(low, F.col("hub.cls")).otherwise(F.col("cls")).alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(low, F.col("hub.n")).otherwise(F.col("n")).alias("nb"), F.col("cls").alias("by"))
+        links, tested = _tried(pairs, sets, links, tested, percent)
+    bounds = None
+    for likeliest in (True, False):
+        at = written(_open_entries(index, links), "open")
+        if at.isEmpty():
+            break
+        if bounds is None:
+            # later entries have no other sets
+            bounds = written(sets.select("_rid", "hashes").join(at.select(F.col("cls").alias("_rid")).distinct(), "_rid").mapInArrow(_counted, "cls bigint, counts binary"), "bounds")
+        per = at.groupBy("h", "comp").agg(F.count("*").alias("k"))
+        largest = per.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("most")).select("h", F.col("most.comp").alias("most"))
+        probes = at.join(largest, "h").withColumn("probe", F.col("comp") != F.col("most")).join(bounds, "cls").select("h", "cls", "n", "comp", "probe", "counts")
+        pairs = probes.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches, likeliest=likeliest: _probed(batches, percent, likeliest), "a bigint, b bigint, na bigint, nb bigint, by bigint")
+        links, tested = _tried(pairs, sets, links, tested, percent)
+        discard(at)
+    discard(index, bounds)
+    return links
+
+
+def _tried(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, tested: DataFrame | None, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The links with those among `pairs`, and the tested pairs with these."""
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.min("by").alias("by"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return links, tested
+    new, now = written(_verified(pairs, sets, percent), "verified"), pairs.select("a", "b")
+    return new if links is None else links.union(new), now if tested is None else tested.union(now)
 
 
 def _with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -321,34 +368,65 @@ def _open_entries(index: DataFrame, links: DataFrame | None) -> DataFrame:
     return at.join(several, "h")
 
 
-def _probed(part: pa.Table, percent: int) -> pa.Table:
-    """In one fragment, of each probe: the sets of other components it may link to, and the partial overlaps."""
-    cls, n, comp = (np.asarray(part[c], np.int64) for c in ("cls", "n", "comp"))
-    probe = np.asarray(part["probe"])
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in part["segment"].chunks for x in c]
-    length = np.array([len(x) for x in sets])
-    every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    member, every = np.repeat(np.arange(len(sets)), length)[order], every[order]
-    out = []
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of each set are in each of `NARROW` fragments, 255 at most."""
+    for batch in batches:
+        sets = (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1))
+        counts = [np.minimum(np.diff(_cuts(x, NARROW)), 255).astype(np.uint8).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.binary())], ["cls", "counts"])
+
+
+def _probed(batches: Iterator[pa.RecordBatch], percent: int, likeliest: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, by): the pairs of entries, which come one after the other, that may link; likeliest: a probe's likeliest of each component only."""
+    kinds = {"h": np.int64, "cls": np.int64, "n": np.int64, "comp": np.int64, "probe": bool}
+    rest: dict[str, np.ndarray] = {}
+    for batch in _then_none(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = {c: np.asarray(batch.column(c).to_numpy(zero_copy_only=False), k) for c, k in kinds.items()}
+            new["counts"] = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("counts")), np.uint8).reshape(-1, NARROW)
+            rest = {c: np.concatenate([rest[c], x]) for c, x in new.items()} if rest else new
+        if not rest:
+            return
+        edge = np.flatnonzero(np.concatenate([[True], rest["h"][1:] != rest["h"][:-1], [True]]))
+        # the last entry may go on in the next batch
+        ends = edge if batch is None else edge[:-1]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield from _entry(*(rest[c][a:b] for c in ("cls", "n", "comp", "probe", "counts")), percent, likeliest)
+        rest = {c: x[ends[-1] :].copy() for c, x in rest.items()}
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _entry(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, probe: np.ndarray, counts: np.ndarray, percent: int, likeliest: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of one entry that may link, a batch for some probes."""
+    over = n - counts.sum(axis=1, dtype=np.int64)  # what the counts left out at 255
+    mine, other, size = [], [], 0
     for i in np.flatnonzero(probe).tolist():
-        low, high = np.searchsorted(every, sets[i]), np.searchsorted(every, sets[i], "right")
-        count = np.bincount(np.concatenate([member[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(sets))
-        may = (count > 0) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (100 * (length[i] - count) <= (100 - percent) * n[i])
-        at = np.flatnonzero(may)
-        out.append((int(cls[i]), int(n[i]), cls[at].tobytes(), count[at].astype(np.int64).tobytes(), n[at].tobytes(), comp[at].tobytes()))
-    names = ["cls", "n", "members", "counts", "sizes", "comps"]
-    return pa.table({c: pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(names)})
-
-
-def _reached(part: pa.Table, percent: int) -> pa.Table:
-    """A probe's links, one for each component it reaches, from its partial overlaps in all fragments."""
-    cls, n = part["cls"][0].as_py(), part["n"][0].as_py()
-    member, count, size, comp = (np.concatenate([np.frombuffer(x, np.int64) for x in part[c].to_pylist()]) for c in ("members", "counts", "sizes", "comps"))
-    ids, first, at = np.unique(member, return_index=True, return_inverse=True)
-    common = np.bincount(at, weights=count, minlength=len(ids)).astype(np.int64)
-    # a fragment without a segment of the member, or that ruled it out, adds nothing; a true link is never ruled out
-    good = (100 + percent) * common >= percent * (n + size[first])
-    _, one = np.unique(comp[first][good], return_index=True)
-    b = ids[good][one]
-    return pa.table({"a": pa.array(np.full(len(b), cls)), "b": pa.array(b)})
+        # two probes meet once
+        at = np.flatnonzero((comp != comp[i]) & (~probe | (cls < cls[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        bound = np.concatenate([np.minimum(counts[at[k : k + SENT // NARROW]], counts[i]).sum(axis=1, dtype=np.int64) for k in range(0, len(at), SENT // NARROW)]) if len(at) else at
+        bound += np.minimum(over[at], over[i])
+        may = (100 + percent) * bound >= percent * (n[at] + n[i])
+        at, bound = at[may], bound[may]
+        if likeliest and len(at) > 1:
+            at = at[np.lexsort((cls[at], n[at] + n[i] - 2 * bound, comp[at]))]
+            at = at[np.concatenate([[True], comp[at][1:] != comp[at][:-1]])]
+        mine.append(np.full(len(at), i))
+        other.append(at)
+        size += len(at)
+        if size >= SENT:
+            yield _as_pairs(cls, n, mine, other)
+            mine, other, size = [], [], 0
+    if size:
+        yield _as_pairs(cls, n, mine, other)
+
+
+def _as_pairs(cls: np.ndarray, n: np.ndarray, mine: list[np.ndarray], other: list[np.ndarray]) -> pa.RecordBatch:
+    i, j = np.concatenate(mine), np.concatenate(other)
+    a, b = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (cls[a], cls[b], n[a], n[b], cls[i])], ["a", "b", "na", "nb", "by"])

@@ -9,6 +9,7 @@ Words and shingles are compared by 64-bit hashes; two different ones of n agree
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,13 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system: workers live on after a task, and Arrow and malloc keep what its peak took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids give null."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

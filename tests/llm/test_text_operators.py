@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,66 @@ def test_shingle_join_equals_all_pairs(docs, none, rows):
     assert shingle_join.linked(none, "doc_id", "text").count() == 0
 
 
+def test_shingle_join_of_near_misses_with_a_common_passage(spark, monkeypatch, tmp_path):
+    """Texts that share a passage and parts of each other, cut into many fragments: components as by all pairs, few pairs and index entries."""
+    rng = random.Random(11)
+    passage, texts = prose(rng, 14).split(), []
+    for _ in range(6):
+        base = prose(rng, 150).split()
+        for k in range(8):
+            v = list(base)
+            for at in rng.sample(range(150), k):
+                v[at] = prose(rng, 1) + str(at)
+            texts.append(" ".join(v[:75] + passage + v[75:]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2).write.parquet(f"file://{tmp_path}/misses")
+    monkeypatch.setattr(shingle_join, "FRAGMENT", 60)
+    monkeypatch.setattr(shingle_join, "SEGMENTS", 100)
+    monkeypatch.setattr(shingle_join, "HUBS", (1,))
+    tables, write = defaultdict(list), shingle_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        tables[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "written", written)
+    found = {r.id: r.comp for r in shingle_join.linked(spark.read.parquet(f"file://{tmp_path}/misses"), "doc_id", "text").collect()}
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [found[i] for i in range(len(texts))] == root and 6 < len(set(root)) < 40
+    # the passage's shingles are in the same texts: one entry stands for all
+    assert tables["index"][0] < tables["prefixes"][0] / 2
+
+
+def test_shingle_join_sends_small_batches():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 1 << 63, 400_000, np.uint64) * np.uint64(2)) for _ in range(4)]
+    out = list(shingle_join._packs(enumerate(sets), 64, np.dtype(np.uint64)))
+    assert sum(sum(len(x.as_py()) for x in b["codes"]) for b in out) == 8 * 1_600_000
+    assert max(b.nbytes for b in out) < 4 << 20
+
+
+def test_shingle_join_bounds_rule_out_no_link():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (3, 40, 700, 90_000):
+        base = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        for edited in (0, 0.05, 0.1, 0.12, 0.2, 0.4):
+            k = int(edited * n)
+            sets.append(np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2)])))
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))}
+    hashes = pa.record_batch({"_rid": pa.array(range(len(sets))), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
+    counted = next(shingle_join._counted(iter([hashes])))
+    rows = pa.record_batch({"h": pa.array([7] * len(sets)), "cls": counted["cls"], "n": pa.array([len(x) for x in sets]), "comp": counted["cls"], "probe": pa.array([True] * len(sets)), "counts": counted["counts"]})
+    # an entry may be cut over batches
+    found = {(a, b) for part in shingle_join._probed(iter([rows.slice(0, 5), rows.slice(5)]), 80, False) for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist())}
+    assert links <= found and len(links) > 20 and len(found) < len(links) + 20
+
+
 def test_substring_dedup_equals_all_windows(docs, none, rows):
     count = Counter(tuple(w[i : i + 35]) for r in rows for w in [words(r[1])] for i in range(len(w) - 34))
     want = Counter()
