@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.sampling import bounded
-from keytide.llm.text import CHUNK, mix, padded_chunks, word_hashes, word_spans
+from keytide.llm.text import CHUNK, mix, padded_chunks, release, word_hashes, word_spans
 from keytide.session import ship
 
 BITS = 18
@@ -126,7 +126,8 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         spelled.update((k, bytes(data[s[i] : e[i]])) for k, i in zip(new.tolist(), first.tolist()) if k not in spelled)
     keys, token = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
     texts.clear()
-    del words
+    del words, h, new, first, s, e, w, at
+    release()
     data = np.frombuffer(b" " + b" ".join(spelled[k] for k in keys.tolist()) + b" ", np.uint8)
     s, e, _ = word_spans(data, np.array([0, len(data)]), _SEP)
     del spelled
@@ -136,7 +137,8 @@ def _train(texts: list[str], y: np.ndarray, bits: int, dim: int, rounds: int, se
         i = np.flatnonzero(use)
         grams.append(((np.searchsorted(s, i + 1, "right") - 1).astype(np.int32), bucket[i].astype(np.int32)))
         per += np.bincount(grams[-1][0], minlength=len(keys))
-    del data, bucket, use, i
+    del data, bucket, use, i, s, e
+    release()
     start, length, rows = _windows(np.array(offsets))
     token = np.unique(np.repeat(np.arange(len(start)), length) * max(len(keys), 1) + token)
     window_of, token = ((token // max(len(keys), 1)).astype(np.int32), (token % max(len(keys), 1)).astype(np.int32))
@@ -222,13 +224,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_cut(t, bound[k], d) for k, d, t in zip(y, draw, whole)], pa.string())], batch.schema.names)
 
         texts = [(r.y, r.draw, r.text) for r in rows.mapInArrow(cut, rows.schema).toLocalIterator()]
+    return _fitted(texts, bits, dim, rounds, seed)
+
+
+def _fitted(texts: list[tuple[int, int, str]], bits: int, dim: int, rounds: int, seed: int) -> Model:
+    """The model of (label, draw, text); the order in which they come doesn't matter. The list is emptied."""
     texts.sort()
     y = np.array([t[0] for t in texts], np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << bits, np.float32), float(np.clip(np.log(max(share, 1e-9)) - np.log(max(1 - share, 1e-9)), -20, 20)), bits)
-    texts = [t[2] for t in texts]
-    return _train(texts, y, bits, dim, rounds, seed)
+    own = [t[2] for t in texts]
+    texts.clear()
+    model = _train(own, y, bits, dim, rounds, seed)
+    # the driver lives on, with less room than an executor
+    release()
+    return model
 
 
 def score(docs: DataFrame, id_col: str, text: str, model: Model, *, keep: list[str] | None = None) -> DataFrame:
