@@ -44,7 +44,7 @@ from keytide.session import discard, ship, small, steady, written
 
 WIDTH = 5
 #: Shingles of a fragment, and of a batch of packed rows, about.
-FRAGMENT = 2_000_000
+FRAGMENT = 1_000_000
 PACKED = 1_000_000
 #: Shingles of an Arrow batch, about: what larger ones take outside the heap doesn't come back.
 SENT = 250_000
@@ -167,10 +167,10 @@ def _shared(part: pa.Table, code: np.dtype, hashes: bool) -> pa.Table:
         else:
             place, n = np.unique(d[hit], return_counts=True)
             out.append((batch, heads, place.tobytes(), b"", n.astype(np.int32).tobytes()))
-    return pa.table([pa.array([o[k] for o in out], pa.binary() if k else pa.int64()) for k in range(5)], SHARED_NAMES)
+    return pa.Table.from_batches(_sent(pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(SHARED.types)], schema=SHARED)), SHARED)
 
 
-SHARED_NAMES = ["batch", "heads", "docs", "codes", "counts"]
+SHARED = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("heads", "docs", "codes", "counts"))])
 SHARED_SCHEMA = "batch bigint, heads binary, docs binary, codes binary, counts binary"
 
 

@@ -17,6 +17,12 @@ _shipped: set[str] = set()
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Rows of an Arrow batch, where the session keeps Spark's own 10000: texts of a few kilobytes make batches of megabytes.
 ARROW_ROWS = 2_000
+#: Bytes of an Arrow batch on its way to Python, where none are set: executors hold batches outside the heap, twice while
+#: they grow, and keep what the largest took.
+ARROW_BYTES = 4 << 20
+#: Parquet's vectored reads are switched off where they aren't set: on local files each reading thread keeps a copy of the
+#: largest column chunk outside the heap.
+VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,6 +89,10 @@ def ship(spark: SparkSession) -> None:
     pin_splits(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    if spark.conf.get(VECTORED, None) is None and spark.sparkContext._jsc.hadoopConfiguration().get(VECTORED) is None:
+        spark.conf.set(VECTORED, "false")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -19,6 +19,7 @@ from keytide.llm.language_id import fit as fit_language
 from keytide.llm.language_id import predict
 from keytide.llm.toxicity import fit as fit_toxicity
 from keytide.llm.toxicity import score
+from keytide.session import VECTORED, ship
 from .conftest import prose, words
 
 
@@ -93,6 +94,41 @@ def test_shingle_join_sends_small_batches():
     assert max(b.nbytes for b in out) < 4 << 20
 
 
+def test_shingle_join_returns_fragments_in_small_batches(monkeypatch):
+    monkeypatch.setattr(shingle_join, "PACKED", 20_000)
+    rng, kind = np.random.default_rng(7), np.dtype(np.uint64)
+    sets = [np.sort(rng.integers(0, 1 << 63, 5_000, np.uint64)) for _ in range(200)] * 2
+    part = pa.Table.from_batches(shingle_join._packs(enumerate(sets), 1, kind))
+    out = shingle_join._shared(part, kind, True)
+    assert out.nbytes > 20 << 20 and max(b.nbytes for b in out.to_batches()) < 4 << 20
+    assert out["codes"].to_pylist() == part["codes"].to_pylist() and out["docs"].to_pylist() == part["docs"].to_pylist()
+    assert all((np.frombuffer(n, np.int32) == 2).all() for n in out["counts"].to_pylist())
+    assert shingle_join._shared(part.slice(0, 1).set_column(2, "heads", [[b""]]), kind, True).num_rows == 0
+
+
+def test_workers_get_small_batches(spark, tmp_path):
+    ship(spark)
+    spark.range(600).select("id", F.repeat(F.lit("word "), 6000).alias("text")).repartition(1).write.parquet(f"file://{tmp_path}/texts")
+    rows = spark.read.parquet(f"file://{tmp_path}/texts")
+    mapped = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes], "rows": [b.num_rows]}) for b in batches), "n long, rows long").collect()
+    grouped = rows.groupBy((F.col("id") * 0).alias("g")).applyInArrow(lambda t: pa.table({"n": [b.nbytes for b in t.to_batches()], "rows": [b.num_rows for b in t.to_batches()]}), "n long, rows long").collect()
+    for found in (mapped, grouped):
+        assert sum(r.rows for r in found) == 600 and max(r.n for r in found) < 5 << 20
+
+
+def test_settings_that_are_made_are_kept(spark):
+    ship(spark)
+    assert spark.conf.get(VECTORED) == "false"
+    kept = {VECTORED: "true", "spark.sql.execution.arrow.maxBytesPerBatch": "123456"}
+    made = {k: spark.conf.get(k) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    ship(spark)
+    assert {k: spark.conf.get(k) for k in kept} == kept
+    for k, v in made.items():
+        spark.conf.set(k, v)
+
+
 def test_shingle_join_bounds_rule_out_no_link():
     rng = np.random.default_rng(6)
     sets = []
