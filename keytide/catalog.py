@@ -237,7 +237,7 @@ RUNS_SQL = "SELECT run_id % 3 AS level, count(DISTINCT run_id) AS segments, sum(
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """A table of segments, one for each run of the log."""
-    per = keylog(spark, d).groupBy("run_id").agg(F.sum(F.octet_length("key")).alias("bytes"), F.count("*").alias("num_keys"), F.count_if(F.col("op") == DELETE).alias("num_tombstones"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    per = keylog(spark, d).groupBy("run_id").agg(F.sum(F.octet_length("key")).alias("bytes"), F.count("*").alias("num_keys"), F.count_if(F.col("op") == DELETE).alias("num_tombstones"), A.least("key").alias("min_key"), A.greatest("key").alias("max_key"))
     return per.withColumn("level", F.col("run_id") % 3)
 
 

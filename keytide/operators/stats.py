@@ -13,6 +13,25 @@ def level_stats(segments: DataFrame) -> DataFrame:
     return segments.groupBy("level").agg(F.count("*").alias("segments"), F.sum("bytes").alias("bytes"), F.sum("num_keys").alias("num_keys"), ratio(F.sum("num_tombstones"), F.sum("num_keys")).alias("tombstone_fraction"))
 
 
+def least(column: str) -> Column:
+    """min of a binary column in an aggregation that hashes; see `_hashed`."""
+    return _hashed(F.min(column), column)
+
+
+def greatest(column: str) -> Column:
+    """max of a binary column in an aggregation that hashes; see `_hashed`."""
+    return _hashed(F.max(column), column)
+
+
+def _hashed(found: Column, column: str) -> Column:
+    """`found`, with a set beside it that stays empty.
+
+    Spark sorts all rows by the group for a min or max of variable length, whatever the number of groups, so a task's memory grows
+    with its file. Next to an aggregate whose buffer is an object it keeps one buffer a group instead.
+    """
+    return F.coalesce(found, F.get(F.collect_set(F.when(F.lit(False), F.col(column))), F.lit(0)))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or missing."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

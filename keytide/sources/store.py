@@ -42,6 +42,7 @@ OPTIONS = {
     "enable_trigrams": True,
     "range_partitions": 0,
     "run_bytes": 512 << 20,
+    "run_memory": 256 << 20,
     "verify_on_open": False,
     "retain_seconds": 30,
     "cache_label_advance_bytes": 32 << 20,
@@ -61,6 +62,12 @@ def _place() -> Column:
     return F.regexp_extract("_metadata.file_path", _PLACE, 1)
 
 
+def _extents(rows: DataFrame) -> DataFrame:
+    """(path, n, low, high, gone, least, most, key_bytes) of each place that rows of the log are read from."""
+    key = (statistics.least("key").alias("low"), statistics.greatest("key").alias("high"), F.sum(F.octet_length("key")).alias("key_bytes"))
+    return rows.groupBy(_place().alias("path")).agg(F.count("*").alias("n"), *key, F.count_if(F.col("op") == DELETE).alias("gone"), F.min("seq").alias("least"), F.max("seq").alias("most"))
+
+
 def _causes(e: Exception) -> str:
     """The messages of an exception of Spark and of whatever caused it."""
     out, cause = [str(e)], getattr(e, "_origin", None)
@@ -188,10 +195,9 @@ class Store:
 
     def _entries(self, name: str, level: int, run: int) -> list[tuple[Segment, int, int]]:
         """(entry, least seq, greatest seq) of a delta's folder, or of each file of a run's folder: one row a file is gathered."""
-        rows = self.spark.read.schema(LOG).parquet(f"{self.path}/{name}").groupBy(_place().alias("path"))
-        found = rows.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.count_if(F.col("op") == DELETE).alias("gone"), F.min("seq").alias("least"), F.max("seq").alias("most"))
+        found = _extents(self.spark.read.schema(LOG).parquet(f"{self.path}/{name}"))
         size = lambda path: self.manifests.fs.getContentSummary(self.manifests.path(path)).getLength()
-        return [(Segment(run, level, r.path, bytes(r.low).hex(), bytes(r.high).hex(), size(r.path), r.n, r.gone, now(), run=run), r.least, r.most) for r in found.collect()]
+        return [(Segment(run, level, r.path, bytes(r.low).hex(), bytes(r.high).hex(), size(r.path), r.n, r.gone, now(), run=run, key_bytes=r.key_bytes), r.least, r.most) for r in found.collect()]
 
     def insert_many(self, keys: DataFrame | Iterable[bytes | str], ttl: int | None = None, as_of: int | None = None) -> int:
         """Inserts keys (a DataFrame with `key`, or an iterable); ttl in nanoseconds, 0 = never."""
@@ -322,10 +328,11 @@ class Store:
 
     # maintenance
 
-    def _write_run(self, rows: DataFrame, own: int, level: int, size: int) -> list[Segment]:
-        """One file, and one entry, a range of keys."""
+    def _write_run(self, rows: DataFrame, own: int, level: int, inputs: list[Segment]) -> list[Segment]:
+        """One file, and one entry, a range of keys; neither a file nor the sort that makes it outgrows its limit: files say little of memory, as short keys compress well."""
         name = f"segments/{own}"
-        parts = self.options["range_partitions"] or max(1, -(-size // self.options["run_bytes"]))
+        needed = [-(-sum(s.bytes for s in inputs) // self.options["run_bytes"]), -(-sum(s.memory for s in inputs) // self.options["run_memory"])]
+        parts = self.options["range_partitions"] or max(1, *needed)
         sorted_ = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
         sorted_.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.fpp#key", str(self.options["prefix_bloom_fpr"])).parquet(f"{self.path}/{name}")
         return [s for s, _, _ in self._entries(name, level, own)]
@@ -362,7 +369,7 @@ class Store:
             return False
         with self.meter.timed("flush"):
             own = self._new_id()
-            run = self._write_run(newest_wins(self._read(deltas)), own, 0, sum(s.bytes for s in deltas))
+            run = self._write_run(newest_wins(self._read(deltas)), own, 0, deltas)
             self._replace({s.id for s in deltas}, run, own, {"flush": own, "inputs": [s.id for s in deltas]})
         if self._worker is not None:
             self._wake.set()
@@ -382,7 +389,7 @@ class Store:
                 if plan.bottom:
                     rows = rows.where(visible(at))
                 own = self._new_id()
-                run = self._write_run(rows, own, plan.target, sum(s.bytes for s in inputs))
+                run = self._write_run(rows, own, plan.target, inputs)
                 self._replace(set(plan.inputs), run, own, {"compaction": own, "inputs": list(plan.inputs), "target": plan.target})
             done = True
         return done
@@ -490,7 +497,7 @@ class Store:
             rows = self.spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true").schema(LOG)
             there = [s for s in segments if self.manifests.fs.exists(self.manifests.path(s.path))]
             if there:
-                per = rows.parquet(*[f"{self.path}/{s.path}" for s in there]).groupBy(_place().alias("path")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.count_if(F.col("op") == DELETE).alias("gone"))
+                per = _extents(rows.parquet(*[f"{self.path}/{s.path}" for s in there]))
                 found = {r.path: (r.n, r.gone, bytes(r.low).hex(), bytes(r.high).hex()) for r in per.collect()}
         ok = {s.id: found.get(s.path) == (s.num_keys, s.num_tombstones, s.min_key, s.max_key) for s in segments}
         return self.spark.createDataFrame([(i, good, "" if good else f"segment {i} can't be read or differs from its entry") for i, good in ok.items()], "id bigint, ok boolean, problem string")

@@ -237,6 +237,35 @@ def test_runs_are_cut_into_files_and_searches_skip_them(spark, store):
     assert store.vacuum(0) == 7 and store.repair() == []
 
 
+def test_runs_are_cut_by_what_their_rows_take_in_memory(spark, store):
+    store.options["run_memory"] = 1 << 16
+    keys = spark.range(5000).select(F.format_string("key%05d", "id").alias("key"))
+    store.insert_many(keys)
+    store.flush()
+    store.insert_many(keys.where("key < 'key01000'"))
+    store.flush()
+    store.compact()
+    files = sorted(store.manifest().runs(), key=lambda s: s.min_key)
+    # 6000 rows of some 100 bytes in memory
+    assert len(files) >= 8 and sum(s.key_bytes for s in files) == 8 * 5000 and max(s.num_keys for s in files) < 1500
+    assert all(a.max_key < b.min_key for a, b in zip(files, files[1:]))
+    assert store.live().count() == 5000 and store.verify().where("not ok").count() == 0
+
+
+def test_entries_are_gathered_without_a_sort(spark, store):
+    from keytide.sources.store import _extents
+
+    store.options["range_partitions"] = 2
+    store.insert_many(["b", "a", "d", "c" * 9])
+    store.delete("d")
+    store.flush()
+    per = _extents(spark.read.parquet(*[f"{store.path}/{s.path}" for s in store.manifest().runs()]))
+    found = sorted((bytes(r.low), bytes(r.high), r.n, r.gone, r.key_bytes) for r in per.collect())
+    assert found[0][0] == b"a" and found[-1][1] == b"d" and [sum(x) for x in list(zip(*found))[2:]] == [4, 1, 12]
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+
+
 def test_many_small_batches_are_flushed_by_count(spark, tmp_path):
     store = Store.open(spark, f"file://{tmp_path}/small", memtable_max_deltas=3)
     for i in range(4):
